@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, language_id, quality_classifier, quality_rules, token_counts
 
-_QUERIES = [token_counts.op1_token_counts, bpe.op6_bpe]
+_QUERIES = [token_counts.op1_token_counts, language_id.op4_language_id, quality_rules.op5_quality_rules, bpe.op6_bpe, quality_classifier.op10_quality_classifier]
 
 
 def queries() -> dict:

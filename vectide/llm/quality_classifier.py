@@ -43,7 +43,7 @@ DIMENSION, HIDDEN, NONZERO, WINDOW = 96, 32, 6, 2
 MIN_DOCS = 5
 HELD_OUT = 5
 #: Weight below which a token isn't pooled.
-TELLING = 0.3
+TELLING = 0.15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

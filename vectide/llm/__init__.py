@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_classifier, quality_rules, token_counts
+from . import bpe, language_id, ngram_join, quality_classifier, quality_rules, token_counts
 
-_QUERIES = [token_counts.op1_token_counts, language_id.op4_language_id, quality_rules.op5_quality_rules, bpe.op6_bpe, quality_classifier.op10_quality_classifier]
+_QUERIES = [token_counts.op1_token_counts, language_id.op4_language_id, ngram_join, quality_rules.op5_quality_rules, bpe.op6_bpe, ngram_join.op8_ngram_jaccard_join, quality_classifier.op10_quality_classifier]
 
 
 def queries() -> dict:
@@ -13,4 +13,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """SQL for the operators that SQL can express; the others are tested against brute force."""
-    return {}
+    return {"op8_ngram_jaccard_join": ngram_join.ORACLE}

@@ -169,8 +169,8 @@ class Classifier:
             a, b = (slice(k, None), slice(None, -k)) if k > 0 else (slice(None, k), slice(-k, None))
             pair = (doc[a] == doc[b]) & (own[a] >= 0) & (near[b] >= 0) & train[doc[a]]
             pairs, count = np.unique(own[a][pair] * len(base) + near[b][pair], return_counts=True)
-            for at in range(0, len(pairs), 1 << 18):
-                p, c = pairs[at : at + (1 << 18)], count[at : at + (1 << 18)]
+            for at in range(0, len(pairs), 1 << 14):
+                p, c = pairs[at : at + (1 << 14)], count[at : at + (1 << 14)]
                 np.add.at(vectors, p // len(base), base[p % len(base)] * (np.log1p(c) / abs(k)).astype(np.float32)[:, None])
         self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.weighted = np.concatenate([self.vectors * self.weight[:, [k]] for k in range(y.shape[1])], 1)

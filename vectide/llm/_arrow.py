@@ -7,10 +7,11 @@ is made per word or per character.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
 
@@ -50,6 +51,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = to
 
 
+def filtered(df: DataFrame, text: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows that ``mask`` keeps by their text; columns, and their order, stay as they are."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(mask(batch.column(at))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import _WORD, buffers, flag_spans, mix, slices, span_hashes
+from ._arrow import _WORD, buffers, filtered, flag_spans, mix, slices, span_hashes
 from ._labels import labelled
 from ._storage import plain, table
 
@@ -141,10 +141,12 @@ class Classifier:
 
     def __init__(self, hashes: np.ndarray, first: np.ndarray, y: np.ndarray):
         n = len(y)
-        doc = np.repeat(np.arange(n), np.diff(first))
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
         known, inverse = np.unique(hashes, return_inverse=True)
+        inverse = inverse.astype(np.int32)
         once = np.unique(doc.astype(np.int64) * max(1, len(known)) + inverse)
-        of, word = once // max(1, len(known)), once % max(1, len(known))
+        of, word = np.divmod(once, max(1, len(known)))
+        del once
         # every fifth document calibrates; it isn't seen by weights, vectors or network
         train = np.arange(n) % HELD_OUT > 0 if n >= 2 * HELD_OUT else np.ones(n, bool)
         seen = train[of]
@@ -159,19 +161,23 @@ class Classifier:
         # tokens that tell nothing weigh nothing in a pool: they are neighbours, but need no vector of their own
         heavy = weight.max(1) > TELLING if len(weight) else np.zeros(0, bool)
         self.vocabulary, self.weight = context[heavy], weight[heavy]
-        near_id, own_id = np.full(len(known), -1), np.full(len(known), -1)
+        del of, word, seen
+        near_id, own_id = np.full(len(known), -1, np.int32), np.full(len(known), -1, np.int32)
         near_id[take] = np.arange(len(context))
         own_id[np.flatnonzero(take)[heavy]] = np.arange(heavy.sum())
         near, own = near_id[inverse], own_id[inverse]
+        del inverse
         base = index_vectors(context)
         vectors = base[heavy] * np.sqrt(np.bincount(own[(own >= 0) & train[doc]], minlength=int(heavy.sum())))[:, None]
         for k in [x for d in range(1, WINDOW + 1) for x in (d, -d)]:
             a, b = (slice(k, None), slice(None, -k)) if k > 0 else (slice(None, k), slice(-k, None))
             pair = (doc[a] == doc[b]) & (own[a] >= 0) & (near[b] >= 0) & train[doc[a]]
-            pairs, count = np.unique(own[a][pair] * len(base) + near[b][pair], return_counts=True)
+            pairs, count = np.unique(own[a][pair].astype(np.int64) * len(base) + near[b][pair], return_counts=True)
             for at in range(0, len(pairs), 1 << 14):
                 p, c = pairs[at : at + (1 << 14)], count[at : at + (1 << 14)]
-                np.add.at(vectors, p // len(base), base[p % len(base)] * (np.log1p(c) / abs(k)).astype(np.float32)[:, None])
+                row = p // len(base)  # in order, as the pairs are
+                edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                vectors[row[edge]] += np.add.reduceat(base[p % len(base)] * (np.log1p(c) / abs(k)).astype(np.float32)[:, None], edge, 0)
         self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.weighted = np.concatenate([self.vectors * self.weight[:, [k]] for k in range(y.shape[1])], 1)
         x = self.pool(hashes, first)
@@ -188,12 +194,13 @@ class Classifier:
         doc = np.repeat(np.arange(n), np.diff(first))[hit]
         at = at[hit]
         out = np.zeros((n, self.weighted.shape[1] + self.weight.shape[1]), np.float32)
-        if len(at):
-            begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            own = doc[begin]
-            size = 1 + np.sqrt(np.diff(first)[own, None])
-            out[own, : self.weighted.shape[1]] = np.add.reduceat(self.weighted[at], begin, 0) / size
-            out[own, self.weighted.shape[1] :] = np.add.reduceat(self.weight[at], begin, 0) / size
+        wide = self.weighted.shape[1]
+        for lo in range(0, len(at), 1 << 14):  # few rows at a time: a token's row is wide
+            d, t = doc[lo : lo + (1 << 14)], at[lo : lo + (1 << 14)]
+            begin = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            out[d[begin], :wide] += np.add.reduceat(self.weighted[t], begin, 0)
+            out[d[begin], wide:] += np.add.reduceat(self.weight[t], begin, 0)
+        out /= 1 + np.sqrt(np.diff(first))[:, None].astype(np.float32)
         return np.arcsinh(4 * out)
 
 
@@ -242,6 +249,21 @@ def classify(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str,
     return df.mapInArrow(run, schema)
 
 
+def kept(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """The documents that are probably good and not toxic, with their columns as they are."""
+
+    def mask(col: pa.Array) -> np.ndarray:
+        m = _loaded(model)
+        data, offs = buffers(col)
+        some = np.diff(offs) > 0
+        if m is None:
+            return some
+        p = m.network.probabilities(m.pool(*tokens(data, offs)))
+        return some & (p[:, 0] >= 0.5) & (p[:, 1] < 0.5)
+
+    return filtered(docs, text, mask)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))

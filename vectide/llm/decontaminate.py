@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import _WORD, buffers, mix, slices
+from ._arrow import _WORD, buffers, filtered, slices
 from ._storage import plain, table
 
 Q, WINDOW, RATE, LEAST = 9, 96, 0.09, 32
@@ -218,27 +219,50 @@ def index(texts: tuple[bytes, ...]) -> Index:
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, windows, edits, start, end): how many of the item's windows are found, the fewest edits, and the characters they span, about."""
-    items = benchmark.select(F.col(plain(item_id)).alias("item_id"), F.lower(F.col(plain(item_text)).cast("string")).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // pass_bytes))
-    kind = items.schema["item_id"].dataType.simpleString()
-    df = docs.select(F.col(plain(doc_id)).alias("doc_id"), F.lower(F.col(plain(text)).cast("string")).alias("text")).where("text IS NOT NULL")
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    df = docs.select(F.col(plain(doc_id)).alias("doc_id"), F.col(plain(text)).cast("string").alias("text")).where("text IS NOT NULL")
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, item_id {kind}, windows int, edits int, start bigint, end bigint"
     out = None
-    for k in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        found = _pass(df, sorted((r.item_id, r.text) for r in part.collect()), schema)
+    for ids, texts in _passes(benchmark, item_id, item_text, pass_bytes):
+        found = _pass(df, ids, texts, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _pass(df: DataFrame, items: list[tuple], schema: str) -> DataFrame:
-    ids, texts = [i for i, _ in items], tuple(t.encode() for _, t in items)
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, pass_bytes: int) -> Iterator[tuple[list, tuple[bytes, ...]]]:
+    """(ids, texts in lower case) of the items of each pass."""
+    items = benchmark.select(F.col(plain(item_id)).alias("item_id"), F.col(plain(item_text)).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    for k in range(passes):
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        got = sorted((r.item_id, r.text) for r in part.collect())
+        yield [i for i, _ in got], tuple(t.encode() for t in pc.utf8_lower(pa.array([t for _, t in got], pa.string())).to_pylist())
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The documents that no item contaminates, with their columns as they are."""
+
+    def mask(texts: tuple[bytes, ...]):
+        def own(col: pa.Array) -> np.ndarray:
+            x, new, _ = even_out(*buffers(pc.utf8_lower(col)))
+            good = np.ones(len(col), bool)
+            good[index(texts).search(x, new)[0]] = False
+            return good
+
+        return own
+
+    for _, texts in _passes(benchmark, item_id, item_text, pass_bytes):
+        docs = filtered(docs, text, mask(texts))
+    return docs
+
+
+def _pass(df: DataFrame, ids: list, texts: tuple[bytes, ...], schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index(texts)
         for batch in slices(batches, "text"):
-            data, offs = buffers(batch.column(1))
+            data, offs = buffers(pc.utf8_lower(batch.column(1)))
             x, new, at = even_out(data, offs)
             doc, window, edits, start, end = ix.search(x, new)
             if not len(doc):

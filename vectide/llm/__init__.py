@@ -24,4 +24,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """SQL for the operators that SQL can express; the others are tested against brute force."""
-    return {"op3_chat_format": chat_format.ORACLE, "op8_ngram_jaccard_join": ngram_join.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op7_lm_score": lm_score.ORACLE, "op8_ngram_jaccard_join": ngram_join.ORACLE}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._arrow import buffers, slices
 from ._storage import plain, table, written
 
-ORDER = 5
+ORDER, DIGITS = 5, 6
 PASS_NGRAMS = 4 << 20
 TASK_IDS = 2 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +178,7 @@ _built: dict[str, Lookup] = {}
 
 
 def score(docs: DataFrame, loss: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, pass_ngrams: int = PASS_NGRAMS) -> DataFrame:
-    """(doc_id, n_tokens, target_bits, background_bits, score) of each row; ``loss`` must have been counted over these documents at least."""
+    """(doc_id, n_tokens, target_bits, background_bits, score) of each row, to ``DIGITS`` places; ``loss`` must have been counted over these documents at least."""
     loss = written(loss, "losses")
     df = _source(docs, text, doc_id)
     passes = max(1, -(-loss.count() // pass_ngrams))
@@ -195,11 +195,12 @@ def score(docs: DataFrame, loss: DataFrame, text: str = "text", doc_id: str = "d
         a, b = keyed.select(*key).alias("a"), added.alias("b")
         sums = a.join(b, F.expr("a.doc_id <=> b.doc_id AND a._key <=> b._key")).select("a.doc_id", "n_tokens", "background", "target")
     n = F.nullif(F.col("n_tokens"), F.lit(0))
-    return sums.select("doc_id", "n_tokens", (F.col("target") / n).alias("target_bits"), (F.col("background") / n).alias("background_bits"), ((F.col("target") - F.col("background")) / n).alias("score"))
+    mean = {"target_bits": F.col("target") / n, "background_bits": F.col("background") / n, "score": (F.col("target") - F.col("background")) / n}
+    return sums.select("doc_id", "n_tokens", *[(F.round(v, DIGITS) + 0.0).alias(k) for k, v in mean.items()])
 
 
 def _pass(df: DataFrame, loss: DataFrame, order: int) -> DataFrame:
-    part = loss.select("code", F.col("background").cast("float").alias("background"), F.col("target").cast("float").alias("target")).toArrow()
+    part = loss.select("code", "background", "target").toArrow()
     code, background, target = (part.column(k).to_numpy() for k in range(3))
     name = uuid.uuid4().hex
     kept = [c for c in df.columns if c != "text"]
@@ -229,3 +230,25 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good and not toxic."""
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def _oracle() -> str:
+    """The same models in SQL, over the texts' bytes as hexadecimal digits."""
+    parts = [
+        """WITH d AS (
+  SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS good, repeat('00', 4) || hex(encode(text)) AS h, octet_length(encode(text)) AS n, row_number() OVER () AS r FROM documents
+), g AS (SELECT r, good, substr(h, (2 * i + 1)::BIGINT, 10) AS g FROM (SELECT r, good, h, unnest(range(n)) AS i FROM d)),
+c5 AS (SELECT g, count(*)::DOUBLE AS b, count(*) FILTER (good)::DOUBLE AS t FROM g GROUP BY g)"""
+    ]
+    parts += [f"c{k} AS (SELECT substr(g, 3) AS g, sum(b) AS b, sum(t) AS t FROM c{k + 1} GROUP BY 1)" for k in (4, 3, 2, 1)]
+    for k in range(1, 6):
+        low = "1 / 256::DOUBLE" if k == 1 else "l.p"
+        mixed = [f"CASE WHEN n{m} = 0 THEN {low}{m if k > 1 else ''} ELSE ({m} + t{m} * {low}{m if k > 1 else ''}) / (n{m} + t{m}) END AS p{m}" for m in "bt"]
+        parts.append(f"x{k} AS (SELECT left(g, {2 * k - 2}) AS x, sum(b) AS nb, sum(t) AS nt, count(*) FILTER (b > 0) AS tb, count(*) FILTER (t > 0) AS tt FROM c{k} GROUP BY 1)")
+        parts.append(f"p{k} AS (SELECT c.g, {', '.join(mixed)} FROM c{k} c JOIN x{k} ON x = left(c.g, {2 * k - 2})" + (f" JOIN p{k - 1} l ON l.g = substr(c.g, 3)" if k > 1 else "") + ")")
+    return ",\n".join(parts) + """,
+s AS (SELECT r, sum(-log2(pt)) AS t, sum(-log2(pb)) AS b FROM g JOIN p5 USING (g) GROUP BY r)
+SELECT doc_id, n AS n_tokens, round(t / n, 6) + 0.0 AS target_bits, round(b / n, 6) + 0.0 AS background_bits, round((t - b) / n, 6) + 0.0 AS score FROM d LEFT JOIN s USING (r)"""
+
+
+ORACLE = _oracle()

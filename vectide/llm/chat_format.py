@@ -75,7 +75,7 @@ class Model:
             move[range(k), [s | 1 for s in range(k)]] += 50
             start[2] += 50
         for s in range(k):  # what markers mean is known without any labels
-            emit[0][s, s // 2 if s % 2 == 0 else _NONE] += 20
+            emit[0][s, s // 2 if s % 2 == 0 else _NONE] += 20 if transcripts else 20_000
         for lines in transcripts:
             for i, (s, x) in enumerate(lines):
                 if i:

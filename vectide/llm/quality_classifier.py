@@ -8,7 +8,7 @@ hundreds of others). A network of two layers in numpy gives the probabilities th
 good quality and that it is toxic; a temperature for each, fitted on held-out labelled rows, makes
 them honest. A document is kept if it is probably good and probably not toxic.
 
-Tokens are words in lower case and runs of symbols; a marker token stands for a word that
+Tokens are words in lower case, runs of symbols, and single symbols that aren't punctuation; a marker token stands for a word that
 repeats the one before it, and one for a word in capitals. Texts are read whole.
 
 Defined results
@@ -51,6 +51,8 @@ _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[*b" \t\r\n\x0b\x0c"]] = True
+_ODD = np.zeros(256, bool)  # signs that tell something even alone
+_ODD[[*b"!#$%&*+/<=>@[\\]^_`{|}~"]] = True
 _REPEAT, _UPPER = np.uint64(1), np.uint64(2)
 
 
@@ -59,8 +61,8 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = _WORD[data]
     start, end = flag_spans(inside, offs)
     signs, to = flag_spans(~inside & ~_SPACE[data], offs)
-    long = to - signs > 1
-    signs, to = signs[long], to[long]
+    telling = (to - signs > 1) | _ODD[data[signs]]
+    signs, to = signs[telling], to[telling]
     low = _LOWER[data]
     h = span_hashes(low, start, end)
     again = np.zeros(len(h), bool)

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import SLICE_BYTES, buffers, slices
+from ._arrow import SLICE_BYTES, buffers, release, slices
 from ._storage import plain, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose pieces are merged together.
-CORPUS_BYTES = 48 << 20
+CORPUS_BYTES = 12 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -185,6 +185,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ke
 
         def flush() -> Iterator[pa.RecordBatch]:
             part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
             col = part.column(part.num_columns - 1)
             at = 0
             for n, tokens, first in encode_slice(m, col.to_pylist()):
@@ -210,9 +211,10 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ke
             size += batch.nbytes
             if size >= CORPUS_BYTES:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
+        release()
 
     return df.mapInArrow(run, T.StructType(fields))
 

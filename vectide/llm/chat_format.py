@@ -163,7 +163,7 @@ def train(conversations: DataFrame, most: int = TRAIN_CONVERSATIONS, lost: float
     return pickle.dumps(Model(transcripts))
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _loaded(model: bytes) -> Model:
     return pickle.loads(model)
 

@@ -212,7 +212,7 @@ class Index:
         return edits, end
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def index(texts: tuple[bytes, ...]) -> Index:
     return Index(list(texts))
 

@@ -265,7 +265,7 @@ def train(labelled: DataFrame, most: int = TRAIN_PAGES) -> bytes:
     return pickle.dumps(Field(pages, labels)) if pages else b""
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _loaded(model: bytes) -> Field | None:
     return pickle.loads(model) if model else None
 

@@ -140,7 +140,7 @@ class Parser:
         return out
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(texts)
 

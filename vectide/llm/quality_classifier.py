@@ -180,8 +180,8 @@ class Classifier:
                 row = p // len(base)  # in order, as the pairs are
                 edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 vectors[row[edge]] += np.add.reduceat(base[p % len(base)] * (np.log1p(c) / abs(k)).astype(np.float32)[:, None], edge, 0)
-        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.weighted = np.concatenate([self.vectors * self.weight[:, [k]] for k in range(y.shape[1])], 1)
+        vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.weighted = np.concatenate([vectors * self.weight[:, [k]] for k in range(y.shape[1])], 1)
         x = self.pool(hashes, first)
         self.network = Network(x[train], y[train])
         if (~train).any():
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = TRAI
     return pickle.dumps(Classifier(lists.flatten().to_numpy().view(np.uint64), first, y))
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _loaded(model: bytes) -> Classifier | None:
     return pickle.loads(model) if model else None
 

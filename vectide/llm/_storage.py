@@ -1,32 +1,10 @@
-"""Where intermediate tables go: the folder that the cluster names, shared by all executors."""
+"""Tables, and where intermediate ones go."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from vectide.storage import table, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a new folder, which is then set."""
-    to = spark.conf.get("spark.checkpoint.dir", None)
-    if not to:
-        to = tempfile.mkdtemp(prefix="vectide-")
-        spark.conf.set("spark.checkpoint.dir", to)
-    return to.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage is cut, and losing an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vectide/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["plain", "table", "written"]
 
 
 def plain(text: str) -> str:

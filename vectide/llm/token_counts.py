@@ -68,7 +68,6 @@ def length_table(histogram: DataFrame) -> DataFrame:
     document has tokens, never over documents.
     """
     upto = Window.orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.orderBy("n_tokens").rowsBetween(1, Window.unboundedFollowing)
     every = Window.orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tokens = F.col("n_tokens") * F.col("documents")
     return (
@@ -76,30 +75,28 @@ def length_table(histogram: DataFrame) -> DataFrame:
             {
                 "documents_upto": F.sum("documents").over(upto),
                 "tokens_upto": F.sum(tokens).over(upto),
-                "documents_over": F.coalesce(F.sum("documents").over(after), F.lit(0)),
-                "tokens_over": F.coalesce(F.sum(tokens).over(after), F.lit(0)),
                 "_all": F.sum("documents").over(every),
+                "_tokens": F.sum(tokens).over(every),
             }
         )
+        # suffix sums as what the prefix leaves of the whole: a frame to the end would be summed up anew at every row
+        .withColumns({"documents_over": F.col("_all") - F.col("documents_upto"), "tokens_over": F.col("_tokens") - F.col("tokens_upto")})
         .withColumn("truncated_tokens", F.col("tokens_upto") + F.col("n_tokens") * F.col("documents_over"))
         .withColumn("quantile", F.col("documents_upto") / F.col("_all"))
-        .drop("_all")
+        .drop("_all", "_tokens")
     )
 
 
 def truncated_totals(lengths: DataFrame, limits: list[int]) -> DataFrame:
     """Totals for any context limits, also those between lengths that occur: one row a limit, from ``length_table``'s rows."""
-    spark = lengths.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit bigint")
-    return (
-        wanted.join(F.broadcast(wanted).select("context_limit").distinct().crossJoin(lengths.select("n_tokens", "documents")), "context_limit", "left")
-        .groupBy("context_limit")
-        .agg(
-            F.coalesce(F.sum(F.least("n_tokens", "context_limit") * F.col("documents")), F.lit(0)).alias("truncated_tokens"),
-            F.coalesce(F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("documents"))), F.lit(0)).alias("documents_cut"),
-            F.coalesce(F.sum(F.greatest(F.col("n_tokens") - F.col("context_limit"), F.lit(0)) * F.col("documents")), F.lit(0)).alias("tokens_lost"),
-        )
+    wanted = lengths.sparkSession.createDataFrame([(x,) for x in sorted({int(x) for x in limits})], "context_limit bigint")
+    at = lengths.select("n_tokens", "documents").crossJoin(F.broadcast(wanted))
+    sums = at.groupBy("context_limit").agg(
+        F.sum(F.least("n_tokens", "context_limit") * F.col("documents")).alias("truncated_tokens"),
+        F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("documents"))).alias("documents_cut"),
+        F.sum(F.greatest(F.col("n_tokens") - F.col("context_limit"), F.lit(0)) * F.col("documents")).alias("tokens_lost"),
     )
+    return wanted.join(sums, "context_limit", "left").fillna(0)
 
 
 def quantiles(lengths: DataFrame, shares: list[float]) -> DataFrame:

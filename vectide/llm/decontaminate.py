@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._arrow import _WORD, buffers, filtered, slices
 from ._storage import plain, table
 
-Q, WINDOW, RATE, LEAST = 9, 96, 0.09, 32
+Q, WINDOW, RATE, LEAST = 9, 64, 0.09, 32
 PASS_BYTES = 4 << 20
 _BITS = 22
 _M = np.uint64(0x9E3779B97F4A7C15)

@@ -283,3 +283,11 @@ def test_windowed_counts(spark, tmp_path):
     q = s.writeStream.outputMode("complete").format("memory").queryName("wc").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT n FROM wc").collect()[0].n == 2
+
+
+def test_filter_and_columns_reach_the_scan(spark, tmp_path):
+    spark.range(50).selectExpr("id", "array(cast(id as double)) AS vector", "cast(id % 10 as int) AS label", "'x' AS other").write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))
+    plan = S.search(df, df.withColumnRenamed("id", "query_id"), 3, where="label < 5")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(label,5)" in plan and "other" not in plan
+    assert "WindowGroupLimit" in plan  # only k rows a query and partition are shuffled

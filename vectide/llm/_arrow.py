@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -69,6 +70,14 @@ def release() -> None:
         trim(0)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; where the session doesn't say otherwise, Arrow batches are kept to 4 MB instead of 64, which executor and worker would each hold for every task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, "4m")
+    return df
+
+
 def filtered(df: DataFrame, text: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows that ``mask`` keeps by their text; columns, and their order, stay as they are."""
     at = df.columns.index(text)
@@ -77,7 +86,7 @@ def filtered(df: DataFrame, text: str, mask: Callable[[pa.Array], np.ndarray]) -
         for batch in slices(batches, text):
             yield batch.filter(pa.array(mask(batch.column(at))))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

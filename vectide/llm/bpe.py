@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import SLICE_BYTES, buffers, release, slices
+from ._arrow import buffers, release, SLICE_BYTES, slices, small_batches
 from ._storage import plain, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose pieces are merged together.
-CORPUS_BYTES = 12 << 20
+CORPUS_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ke
     """``keep``'s columns (all by default), with ``n_tokens`` and ``tokens``; ``check`` adds ``round_trip``: decoding gives the text again."""
     new = {"n_tokens", "tokens"} | ({"round_trip"} if check else set())
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    df = docs.select(*[F.col(plain(c)) for c in kept], F.col(plain(text)).cast("string").alias("__text"))
+    df = small_batches(docs).select(*[F.col(plain(c)) for c in kept], F.col(plain(text)).cast("string").alias("__text"))
     fields = [*df.schema.fields[:-1], T.StructField("n_tokens", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
     if check:
         fields.append(T.StructField("round_trip", T.BooleanType()))

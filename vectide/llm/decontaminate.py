@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import _WORD, buffers, filtered, slices
+from ._arrow import buffers, filtered, slices, small_batches, _WORD
 from ._storage import plain, table
 
 Q, WINDOW, RATE, LEAST = 9, 64, 0.09, 32
@@ -220,7 +220,7 @@ def index(texts: tuple[bytes, ...]) -> Index:
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, windows, edits, start, end): how many of the item's windows are found, the fewest edits, and the characters they span, about."""
     kind = benchmark.schema[item_id].dataType.simpleString()
-    df = docs.select(F.col(plain(doc_id)).alias("doc_id"), F.col(plain(text)).cast("string").alias("text")).where("text IS NOT NULL")
+    df = small_batches(docs).select(F.col(plain(doc_id)).alias("doc_id"), F.col(plain(text)).cast("string").alias("text")).where("text IS NOT NULL")
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, item_id {kind}, windows int, edits int, start bigint, end bigint"
     out = None
     for ids, texts in _passes(benchmark, item_id, item_text, pass_bytes):

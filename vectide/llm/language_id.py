@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import buffers, slices
+from ._arrow import buffers, slices, small_batches
 from ._storage import plain, table
 
 SEGMENT = 1024
@@ -173,7 +173,7 @@ def labelled_text(docs: DataFrame, text: str = "text", label: str = "lang", doc_
 
 def identify(docs: DataFrame, texts: tuple[tuple[str, bytes], ...], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``'s columns with ``language``, ``bits`` (a byte, of the best) and ``margin`` (bits to the second)."""
-    df = docs.select(*[F.col(plain(c)) for c in keep], F.lower(F.col(plain(text)).cast("string")).alias("__text"))
+    df = small_batches(docs).select(*[F.col(plain(c)) for c in keep], F.lower(F.col(plain(text)).cast("string")).alias("__text"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("language", T.StringType()), T.StructField("bits", T.DoubleType()), T.StructField("margin", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import buffers, slices
+from ._arrow import buffers, slices, small_batches
 from ._storage import plain, table, written
 
 ORDER, DIGITS = 5, 6
@@ -67,7 +67,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
 
 
 def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(plain(doc_id)).alias("doc_id"), F.col(plain(text)).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(plain(doc_id)).alias("doc_id"), F.col(plain(text)).cast("string").alias("text"))
 
 
 def counts(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, task_ids: int = TASK_IDS) -> DataFrame:

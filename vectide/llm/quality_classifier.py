@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import _WORD, buffers, filtered, flag_spans, mix, slices, span_hashes
+from ._arrow import buffers, filtered, flag_spans, mix, slices, small_batches, span_hashes, _WORD
 from ._labels import labelled
 from ._storage import plain, table
 
@@ -233,7 +233,7 @@ def _loaded(model: bytes) -> Classifier | None:
 def classify(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``'s columns with ``p_good``, ``p_toxic`` and ``keep``."""
     new = ("p_good", "p_toxic", "keep")
-    df = docs.select(*[F.col(plain(c)) for c in keep if c not in new], F.col(plain(text)).cast("string").alias("__text"))
+    df = small_batches(docs).select(*[F.col(plain(c)) for c in keep if c not in new], F.col(plain(text)).cast("string").alias("__text"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("p_good", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._arrow import slices
+from ._arrow import slices, small_batches
 from ._storage import plain, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -52,7 +52,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
         yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "documents"])
 
     return (
-        docs.select(F.col(plain(text)).cast("string").alias("text"))
+        small_batches(docs).select(F.col(plain(text)).cast("string").alias("text"))
         .where("text IS NOT NULL")
         .mapInArrow(count, "n_tokens bigint, documents bigint")
         .groupBy("n_tokens")

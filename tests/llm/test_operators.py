@@ -538,3 +538,22 @@ def test_decontamination(spark, pass_bytes):
     left = {r.doc_id for r in decontaminate.clean(df, bench, pass_bytes=pass_bytes).collect()}
     assert left == set(range(len(texts))) - {i for i, _ in want}
     assert decontaminate.find(df, bench.where("false")).count() == 0 and decontaminate.find(df.where("false"), bench).count() == 0
+
+
+@pytest.mark.parametrize("beside", [0, 1])
+def test_every_length_of_an_item_is_found(beside):
+    rng = random.Random(5)
+    fixed = [prose(rng, 12).encode() for _ in range(beside)]
+    for w in range(decontaminate.LEAST, decontaminate.WINDOW + 1):
+        most, _ = decontaminate.budget(w)
+        item = "".join(rng.choice("abcdefghij0123456789") for _ in range(w))
+        # spread as evenly as can be, which leaves the fewest q-grams; then anywhere
+        step = w / (most + 1)
+        spread = "".join("#xyz"[rng.randint(1, 3)] if any(i == int(step * (k + 1)) for k in range(most)) else c for i, c in enumerate(item))
+        texts = [prose(rng, 5) + " " + t + " " + prose(rng, 5) for t in [item, spread, *(edited(rng, item, e) for e in range(most + 3))]]
+        found = [evened(t) for t in texts] + fixed
+        ix = decontaminate.Index([item.encode(), *fixed])
+        doc, window, edits, _, _ = ix.search(np.frombuffer(b"".join(found), np.uint8), np.cumsum([0, *map(len, found)]))
+        got = {(int(d), int(e)) for d, k, e in zip(doc, ix.item[window], edits) if k == 0}
+        want = {(i, e) for i, x in enumerate(found) if (e := least_edits(evened(item), x)) <= most}
+        assert got == want and len(want) > most

@@ -7,7 +7,7 @@ window's length, of one of its windows, after case, punctuation and spacing are
 Within e edits, w bytes keep w - q + 1 - q e of their q-grams, and all of them lie on
 diagonals (position in the document less position in the window) at most e apart. So shared q-grams are
 counted in overlapping bands of diagonals, regions that reach the bound are kept, and a banded
-alignment decides them. No region within the budget is missed, and none is reported without its alignment.
+alignment decides them. The bound is at least 3 for every length of a window, and each length has its own. No region within the budget is missed, and none is reported without its alignment.
 
 Documents are read whole and never shuffled: the benchmark's q-grams go to the tasks. A benchmark of more than
 ``PASS_BYTES`` is searched in several passes, each with an index that is bounded in size.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._arrow import buffers, filtered, slices, small_batches, _WORD
 from ._storage import plain, table
 
-Q, WINDOW, RATE, LEAST = 9, 64, 0.09, 32
+Q, WINDOW, RATE, LEAST = 8, 64, 0.09, 32  # of 9 bytes, windows of 34 and 35 bytes would keep none for certain
 PASS_BYTES = 4 << 20
 _BITS = 22
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -66,14 +66,13 @@ def even_out(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """A hash of the ``Q`` = 9 bytes from each place on."""
+    """A hash of the ``Q`` = 8 bytes from each place on."""
     if len(x) < Q:
         return np.zeros(0, np.uint64)
     h, n, m = x.astype(np.uint64) + np.uint64(1), 1, np.array([_M])
     while n < 8:
         h = h[:-n] * m + h[n:]
         n, m = 2 * n, m * m
-    h = h[:-1] * _M + x[8:]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h
@@ -115,6 +114,8 @@ class Index:
                 least.append(need)
         self.item, self.edits, self.least = (np.array(v, np.int64) for v in (item, edits, least))
         self.size = np.array([len(w) for w in self.text], np.int64)
+        sizes, self.kind = np.unique(self.size, return_inverse=True)
+        self.bounds = [(budget(int(w))[1], int(w) + 3 * (budget(int(w))[0] + 1)) for w in sizes]  # (q-grams kept, bytes that hold them) by length
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         by = np.argsort(h, kind="stable")
         self.window = np.concatenate(of)[by] if hashes else np.zeros(0, np.int64)
@@ -138,20 +139,23 @@ class Index:
         hit &= at + Q <= offs[doc + 1]
         at, to, doc = at[hit], to[hit], doc[hit]
         # a region holds at least ``need`` of the places, within a window's length and its bands
-        need = int(self.least.min())
-        span = int((self.size + 3 * (self.edits + 1)).max())
-        if len(at) < need:
-            return none
-        tight = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span)
-        mark = np.zeros(len(at) + 1, np.int64)
-        np.add.at(mark, tight, 1)
-        np.add.at(mark, tight + need, -1)
-        live = np.cumsum(mark[:-1]) > 0
-        at, to, doc = at[live], to[live], doc[live]
+        live = np.zeros((len(self.bounds), len(at)), bool)
+        for k, (need, span) in enumerate(self.bounds):
+            if len(at) >= need:
+                tight = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span)
+                mark = np.zeros(len(at) + 1, np.int64)
+                mark[tight] += 1
+                mark[tight + need] -= 1
+                live[k] = np.cumsum(mark[:-1]) > 0
+        some = live.any(0)
+        at, to, doc, live = at[some], to[some], doc[some], live[:, some]
         count = self.first[to + 1] - self.first[to]
         begin = np.cumsum(count) - count
         entry = np.repeat(self.first[to] - begin, count) + np.arange(count.sum())
-        at, doc, window = np.repeat(at, count), np.repeat(doc, count), self.window[entry]
+        own = np.repeat(np.arange(len(at)), count)
+        dense = live[self.kind[self.window[entry]], own]
+        entry, own = entry[dense], own[dense]
+        at, doc, window = at[own], doc[own], self.window[entry]
         wide = self.edits[window] + 1
         diagonal = at - offs[doc] - self.place[entry] + 2 * WINDOW
         band = diagonal // wide

@@ -1,6 +1,7 @@
 """Operators on small inputs with results worked out by hand, and properties that must hold."""
 
 import io
+import zlib
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vectide import catalog
 from vectide.functions import records as R
 from vectide.functions import vectors as V
 from vectide.operators import ann, graph, segments, sinks, text
@@ -291,3 +293,16 @@ def test_filter_and_columns_reach_the_scan(spark, tmp_path):
     plan = S.search(df, df.withColumnRenamed("id", "query_id"), 3, where="label < 5")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(label,5)" in plan and "other" not in plan
     assert "WindowGroupLimit" in plan  # only k rows a query and partition are shuffled
+
+
+def test_all_parts_are_searched(spark, small):
+    """Every part is a query and a row, with the operator's 2048 bits, against brute force."""
+    parts = spark.read.parquet(f"{small}/part.parquet").select("p_partkey", "p_type").collect()
+    prints = {t: {zlib.crc32(t[i : i + 3].encode()) % 2048 for i in range(len(t) - 2)} for t in {r.p_type for r in parts}}
+    want = set()
+    for q in parts:
+        a = prints[q.p_type]
+        d = sorted((round(1 - len(a & prints[r.p_type]) / len(a | prints[r.p_type]), 6), r.p_partkey) for r in parts)
+        want |= {(q.p_partkey, i, x, n) for n, (x, i) in enumerate(d[:10], 1)}
+    got = catalog.queries()["molecule_fingerprint_search"](spark, small).collect()
+    assert len(got) == 10 * len(parts) and {(r.query_id, r.id, round(r.distance, 6), r["rank"]) for r in got} == want

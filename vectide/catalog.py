@@ -542,10 +542,9 @@ def molecule_shingles(spark, d):
 
 @_query()
 def molecule_fingerprint_search(spark, d):
-    """Fingerprints of distinct strings, and for each the nearest by Jaccard distance."""
-    kinds = table(spark, d, "part").groupBy("p_type").agg(F.min("p_partkey").alias("id"))
-    prints = make_operator("vectorizer", "molecule", column="p_type", bits=256)(kinds).withColumn("vector", F.transform("vector", lambda b: b.cast("int")))
-    return S.search(prints, prints.withColumnRenamed("id", "query_id"), 10, "jaccard", output_fields=("p_type",))
+    """Fingerprints of all parts, and for each part the nearest parts by Jaccard distance."""
+    make = make_operator("vectorizer", "molecule", column="p_type")
+    return S.search_all(table(spark, d, "part"), "p_type", lambda df: make(df).withColumn("vector", F.transform("vector", lambda b: b.cast("int"))), 10, "jaccard", "p_partkey")
 
 
 # -- approximate search --------------------------------------------------------------------------------------------

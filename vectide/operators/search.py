@@ -7,7 +7,7 @@ to the tasks in blocks of bounded size; more queries than a block holds are sear
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,21 @@ def search(
     return out.select("query_id", "id", "distance", "rank", *output_fields)
 
 
+def search_all(df: DataFrame, same: str, vectorize: Callable[[DataFrame], DataFrame], k: int = 10, metric: str = "l2", id_col: str = "id", digits: int = 6) -> DataFrame:
+    """(query_id, id, distance, rank, same): the ``k`` nearest rows of every row, where ``vectorize`` makes the vector of ``same`` alone.
+
+    Equal values are vectorized once and searched once. Of each value the ``k`` rows of least id can be among the ``k`` nearest, and
+    its results are given to all its rows. Rows without a value are near nothing.
+    """
+    rows = df.select(F.col(id_col).alias("id"), same).where(F.col("id").isNotNull() & F.col(same).isNotNull())
+    kinds = vectorize(rows.groupBy(same).agg(F.min("id").alias("kind")))
+    by = Window.partitionBy(same).orderBy("id")
+    first = rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k).drop("_r")
+    near = search(first.join(kinds, same), kinds, k, metric, output_fields=(same,), query_id="kind", digits=digits)
+    own = rows.join(kinds.select(same, "kind"), same).select(F.col("id").alias("_query"), "kind")
+    return near.withColumnRenamed("query_id", "kind").join(own, "kind").select(F.col("_query").alias("query_id"), "id", "distance", "rank", same)
+
+
 def _scan(block: pa.Table, k: int, metric: str, p: float, digits: int):
     block = block.combine_chunks()
     qid = block.column(0).combine_chunks() if block.num_rows else pa.array([], block.schema.field(0).type)

@@ -306,3 +306,13 @@ def test_all_parts_are_searched(spark, small):
         want |= {(q.p_partkey, i, x, n) for n, (x, i) in enumerate(d[:10], 1)}
     got = catalog.queries()["molecule_fingerprint_search"](spark, small).collect()
     assert len(got) == 10 * len(parts) and {(r.query_id, r.id, round(r.distance, 6), r["rank"]) for r in got} == want
+
+
+def test_gkmeans_counts_every_row_of_a_group(spark):
+    """A group of more rows than its centres are fitted on, a smaller one, and one of a single row."""
+    rng = np.random.default_rng(3)
+    sizes = {"1": 4999, "2": 301, "3": 1}
+    rows = [(int(k) * 10_000 + i, v.tolist(), k) for k, n in sizes.items() for i, v in enumerate(rng.normal(size=(n, 3)))]
+    got = {(r.label, r.cluster): r.rows for r in ann.gkmeans(vec(spark, rows, ", label string"), "label").collect()}
+    assert got == {(k, c): (n + 1 - c) // 2 for k, n in sizes.items() for c in (0, 1)}
+    assert ann.min_samples(64) == 7141

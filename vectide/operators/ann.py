@@ -54,17 +54,33 @@ def balance_loss(x: np.ndarray, c: np.ndarray, side: np.ndarray, weight: float =
     return float((((x - c[side]) ** 2).sum() + weight * ((sizes - len(x) / len(c)) ** 2).sum()) / max(1, len(x)))
 
 
+def min_samples(dim: int, error: float = 0.01, uncertainty: float = 0.05) -> int:
+    """Rows that centres of ``dim`` dimensions are fitted on at least, where there are as many (the reference's bound)."""
+    return int(np.ceil(max(4 / (error * np.log(2 / uncertainty)), 8 * dim / (error * np.log(13 / error)))))
+
+
 def gkmeans(df: DataFrame, group: str, vector: str = "vector", id_col: str = "id", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """(group, cluster, centre, rows): balanced 2-means of each group, on the ``sample`` rows of least hash."""
-    by = Window.partitionBy(group).orderBy(F.xxhash64(id_col), id_col)
-    rows = df.select(F.col(group).cast("string").alias("g"), id_col, V.doubles(vector).alias("v"), F.row_number().over(by).alias("_r")).where(F.col("_r") <= sample).drop("_r")
+    """(group, cluster, centre, rows): balanced 2-means of each group. Centres are fitted on ``sample`` rows of least hash or ``min_samples``,
+    whichever is more; then all rows of the group are halved by difference of distances, and counted. Rows without a vector aren't read."""
+    all_rows = df.select(F.col(group).cast("string").alias("g"), F.col(id_col).alias("id"), V.doubles(vector).alias("v")).where("v IS NOT NULL")
+    sample = max(sample, min_samples(all_rows.agg(F.max(F.size("v"))).first()[0] or 0))
+    by = Window.partitionBy("g").orderBy(F.xxhash64("id"), "id")
+    rows = all_rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= sample).drop("_r")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        c, side = balanced_two_means(np.stack(pdf["v"]), seed)
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * 2, "cluster": [0, 1], "centre": list(c), "rows": np.bincount(side, minlength=2)})
-
-    return rows.groupBy("g").applyInPandas(fit, "g string, cluster int, centre array<double>, rows bigint").withColumnRenamed("g", group)
+        pdf = pdf.sort_values("id")
+        c, _ = balanced_two_means(np.stack(pdf["v"]), seed)
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "c": [list(c)]})
+
+    centres = written(rows.groupBy("g").applyInPandas(fit, "g string, c array<array<double>>"), "centres")
+    a, b = all_rows.alias("a"), centres.alias("b")
+    gap = V.squared_l2(V.sq_norm(F.col("a.v")), V.sq_norm(F.col("b.c")[0]), V.dot(F.col("a.v"), F.col("b.c")[0])) - V.squared_l2(V.sq_norm(F.col("a.v")), V.sq_norm(F.col("b.c")[1]), V.dot(F.col("a.v"), F.col("b.c")[1]))
+    own = a.join(b, F.expr("a.g <=> b.g")).select("a.g", "a.id", gap.alias("gap"))
+    near = Window.partitionBy("g")
+    half = (F.row_number().over(near.orderBy("gap", "id")) > F.floor((F.count("*").over(near) + 1) / 2)).cast("int")
+    rows_of = own.withColumn("cluster", half).groupBy("g", "cluster").agg(F.count("*").alias("rows")).alias("n")
+    both = centres.select("g", F.posexplode("c").alias("cluster", "centre")).alias("b")
+    return both.join(rows_of, F.expr("n.g <=> b.g AND n.cluster = b.cluster"), "left").select(F.col("b.g").alias(group), "b.cluster", "centre", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def predict(df: DataFrame, centres: DataFrame, id_col: str = "id", vector: str = "vector", digits: int = 6) -> DataFrame:

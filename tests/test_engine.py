@@ -316,3 +316,26 @@ def test_gkmeans_counts_every_row_of_a_group(spark):
     got = {(r.label, r.cluster): r.rows for r in ann.gkmeans(vec(spark, rows, ", label string"), "label").collect()}
     assert got == {(k, c): (n + 1 - c) // 2 for k, n in sizes.items() for c in (0, 1)}
     assert ann.min_samples(64) == 7141
+
+
+@pytest.mark.parametrize("n, dim", [(2000, 64)])
+def test_tree_index_recall(spark, n, dim):
+    """With the query's own parameters, over vectors of unit length."""
+    x = np.random.default_rng(n).normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = vec(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    index = ann.build(df, n_trees=8, spill=0.15)
+    got = index.search(df.withColumnRenamed("id", "query_id")).collect()
+    exact = np.argsort(2 - 2 * x @ x.T, 1, kind="stable")[:, :10]
+    recall = len({(r.query_id, r.id) for r in got} & {(i, j) for i, row in enumerate(exact.tolist()) for j in row}) / (10 * n)
+    assert len(got) == 10 * n and recall >= 0.9
+
+
+def test_more_leaves_find_more(spark):
+    x = np.random.default_rng(2).normal(size=(240, 8))
+    df = vec(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    index = ann.build(df, n_trees=1, leaf=65)
+    q = df.limit(40).withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in index._exact(q, 10, 6).collect()}
+    found = [len({(r.query_id, r.id) for r in index._walked(q, 10, 6, n).collect()} & exact) / len(exact) for n in (1, 2, 4)]
+    assert found[0] < found[1] < found[2] == 1

@@ -25,6 +25,8 @@ from vectide.storage import written
 LEAF = 200
 #: Rows of a leaf that its plane is fitted on.
 SAMPLE = 4096
+#: What a search must find of the exact neighbours, the queries that this is measured on, and the part of the rows (1 / SHARE) up to which more leaves are walked.
+RECALL, CALIBRATE, SHARE = 0.9, 200, 4
 
 
 def balanced_two_means(x: np.ndarray, seed: int = 0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -104,21 +106,64 @@ class Index:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         return load(self.vectors.sparkSession, path)
 
-    def search(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", vector: str = "vector", digits: int = 6) -> DataFrame:
-        """(query_id, id, distance, rank), squared distances of the candidates of all trees; fewer than ``k`` where leaves are small."""
+    def search(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", vector: str = "vector", digits: int = 6, recall: float = RECALL) -> DataFrame:
+        """(query_id, id, distance, rank), squared distances of the candidates of all trees.
+
+        Each tree is walked to as many leaves as give ``recall`` against exact search, measured on ``CALIBRATE`` of the queries. Where one leaf
+        doesn't, and more would hold over 1 / ``SHARE`` of the rows, exact search costs less than the walk, and all rows are searched.
+        """
         q = queries.select(F.col(query_id).alias("query_id"), V.doubles(vector).alias("vector"))
-        at = self.traverse(q).select("query_id", "tree", "node")
+        leaves = self.leaves_to_walk(q, k, digits, recall)
+        if leaves is None:
+            return self._exact(q, k, digits)
+        return self._walked(q, k, digits, leaves)
+
+    def leaves_to_walk(self, q: DataFrame, k: int, digits: int = 6, recall: float = RECALL) -> int | None:
+        """Leaves of each tree; None stands for an exact search of all rows."""
+        probe = written(q.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATE), "calibrate")
+        exact = {(r.query_id, r.id) for r in self._exact(probe, k, digits).select("query_id", "id").collect()}
+        rows = self.vectors.count()
+        per_leaf = self.leaves.count() / max(1, self.leaves.select("tree", "node").distinct().count())
+        most = self.leaves.groupBy("tree").agg(F.countDistinct("node").alias("n")).agg(F.max("n")).first()[0] or 1
+        leaves = 1
+        while leaves == 1 or leaves <= most and leaves * per_leaf * self.n_trees * SHARE <= rows:
+            found = {(r.query_id, r.id) for r in self._walked(probe, k, digits, leaves).select("query_id", "id").collect()}
+            # the sample's own error is allowed for
+            share = len(found & exact) / max(1, len(exact))
+            if share - 2 * (share * (1 - share) / max(1, len(exact))) ** 0.5 >= recall:
+                return leaves
+            leaves *= 2
+        return None
+
+    def _exact(self, q: DataFrame, k: int, digits: int) -> DataFrame:
+        return S.search(self.vectors.withColumnRenamed("v", "vector"), q, k, "squared_l2", digits=digits)
+
+    def _walked(self, q: DataFrame, k: int, digits: int, leaves: int) -> DataFrame:
+        at = self.traverse(q, leaves).select("query_id", "tree", "node")
         candidates = at.join(self.leaves, ["tree", "node"]).select("query_id", "id")
         return S.rerank(candidates, self.vectors.withColumnRenamed("v", "vector"), q, k, metric="squared_l2", digits=digits)
 
-    def traverse(self, q: DataFrame) -> DataFrame:
-        """The leaf of each query and tree, by the sign of its distance to each plane on the way; a join a level."""
+    def traverse(self, q: DataFrame, leaves: int = 1) -> DataFrame:
+        """The ``leaves`` leaves of each query and tree that lie behind the nearest planes; a join a level.
+
+        A leaf is as far as the farthest plane that has to be crossed to it; the leaf where the query itself lies is at 0.
+        """
         depth = self.nodes.agg(F.max(F.floor(F.log2(F.col("node") + 1)))).first()[0]
-        at = q.crossJoin(F.broadcast(self.leaves.select("tree").distinct())).withColumn("node", F.lit(0))
+        at = q.crossJoin(F.broadcast(self.leaves.select("tree").distinct())).withColumns({"node": F.lit(0), "far": F.lit(0.0)})
+        by = Window.partitionBy("query_id", "tree").orderBy("far", "node")
         for _ in range(0 if depth is None else int(depth) + 1):
-            at = at.join(self.nodes.select("tree", "node", "w", "b"), ["tree", "node"], "left")
-            right = V.hyperplane_distance(F.col("vector"), F.col("w"), F.col("b")) >= 0
-            at = at.select("query_id", "vector", "tree", F.when(F.col("w").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"))
+            at = at.join(self.nodes.select("tree", "node", "w", "b"), ["tree", "node"], "left").withColumn("d", V.hyperplane_distance(F.col("vector"), F.col("w"), F.col("b")))
+            right = (F.col("d") >= 0).cast("int")
+            own = F.struct(F.when(F.col("w").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right).alias("node"), F.col("far").alias("far"))
+            if leaves == 1:
+                at = at.select("query_id", "vector", "tree", own.alias("to"))
+            else:
+                across = F.greatest(F.col("far"), F.coalesce(F.abs(F.col("d")) / F.nullif(V.norm(F.col("w")), F.lit(0.0)), F.lit(0.0)))
+                other = F.when(F.col("w").isNotNull(), F.struct((2 * F.col("node") + 2 - right).alias("node"), across.alias("far")))
+                at = at.select("query_id", "vector", "tree", F.explode(F.array_compact(F.array(own, other))).alias("to"))
+            at = at.select("query_id", "vector", "tree", "to.node", "to.far")
+            if leaves > 1:
+                at = at.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= leaves).drop("_r")
         return at
 
 

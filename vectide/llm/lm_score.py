@@ -1,229 +1,372 @@
 """LM scoring by cross-entropy difference.
 
-Two n-gram models are counted, one over the target documents and one over the whole corpus as background. They
-share one vocabulary (the 256 bytes, so nothing is ever out of it), one order and one smoothing
-(interpolated Witten-Bell), and are matched in everything but their text. A document's score is the mean over its
-tokens of the target's loss less the background's: the lower, the more the document is like the target.
+Two trigram models over words are counted, one over the target documents and one over the whole corpus as background. They
+share one vocabulary (every word of the corpus), one order and one smoothing, and are matched in everything but their text. A
+document's score is the mean over its tokens of the target's loss less the background's: the lower, the more the document is like the target.
 
-Every document is counted, whole. Counts of the highest order hold those of all lower orders, because each text
-begins with order - 1 border tokens; they are summed up within tasks, so what is shuffled are distinct n-grams
-of tasks, never tokens. Losses of all n-grams that occur are derived by joins of count tables.
-Tasks then look up every token's two losses in a hash table. A table of more than ``PASS_NGRAMS`` n-grams
-is split by hash, and texts are scored in as many passes, whose sums are added.
+Words are runs of letters, digits and all other signs beyond ASCII, in lower case. Two border tokens stand before a text and one, which is
+predicted like a word, after it. The probability of a word is interpolated with that of the order below,
+
+    p(w | uv) = (n(uvw) + PRIOR p(w | v)) / (n(uv) + PRIOR),   p(w | v) likewise,   p(w) = (n(w) + PRIOR / WORDS) / (n() + PRIOR)
+
+which needs nothing but counts of n-grams. A token's loss is rounded to a thousandth of a bit, so that sums don't hang on their order.
+
+Every document is counted, whole, and what is gathered grows with the corpus: a task reads its documents in slices of
+``SLICE`` bytes, and asks for the counts of each slice's distinct n-grams, by a hash that spreads them over all partitions. Where the
+questions about an n-gram meet, its counts are summed up, and each slice is answered in the order in which it asked. Slices are put together with
+their answers and score their documents. So an n-gram of a third of all tokens is one question a slice, no partition
+holds more than its share, no table is broadcast, and the texts are read once. Questions are packed: hashes as differences of 6 bytes, counts as bytes.
 
 Target ids are given to the tasks while there are at most ``TASK_IDS`` of them; beyond, documents are joined with them.
 
 Defined results
-    null or empty text   no tokens: null losses and score
-    no target document   the target model is uniform over bytes; scores are still defined
+    null or empty text   no tokens: null losses and score; so too for texts without words
+    very long text       counted and scored whole, as a slice of its own
+    no target document   the target model is the same for all words; scores are still defined
     null id              never a target; scored like any other
-    repeated rows        each counts, and each has its result
+    ties, repeated rows  each counts, and each has its result
     empty table          no rows
     other columns        aren't read
+
+Documents must come in the same order when a task is run again, as they do from files.
 """
 
 from __future__ import annotations
 
-import uuid
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import buffers, slices, small_batches
-from ._storage import plain, table, written
+from ._arrow import buffers, mix, slices, small_batches, span_hashes, words
+from ._storage import plain, table
+
+ORDER, DIGITS = 3, 6
+PRIOR, WORDS = 4.0, 1 << 20
+#: Bytes of text whose n-grams are asked for together.
+SLICE = 4 << 20
+TASK_IDS = 1 << 20
+#: Parts that each partition of questions is cut into; one is held at a time.
+PARTS = 4
+_BORDER = np.uint64(0x5B0DE7)
+_TOTAL = np.uint64(0x107A1)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram, from that of its beginning and its last word."""
+    return mix(before * _STEP + word + _SALT)
+
+
+def sequences(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of at least a word, with two borders before and one after: (tokens, where each text's begin)."""
+    n = np.diff(first)
+    begin = np.concatenate([[0], np.cumsum(np.where(n > 0, n + 3, 0))])
+    out = np.full(begin[-1], _BORDER)
+    out[np.repeat(begin[:-1] + 2 - first[:-1], n) + np.arange(first[0], first[-1])] = word
+    return out, begin
+
+
+def grams(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the 1-, 2- and 3-gram that end at each token; those that begin before their text are never asked for."""
+    one = mix(tokens + _SALT)
+    two, three = np.zeros_like(one), np.zeros_like(one)
+    two[1:] = _chained(one[:-1], tokens[1:])
+    three[2:] = _chained(two[1:-1], tokens[2:])
+    return one, two, three
+
+
+def predicted(begin: np.ndarray) -> np.ndarray:
+    """Places of the tokens that are predicted: all but the two borders at each text's beginning."""
+    live = np.ones(begin[-1], bool)
+    at = begin[:-1][np.diff(begin) > 0]
+    live[at] = live[at + 1] = False
+    return np.flatnonzero(live)
+
+
+class Questions:
+    """A slice's distinct n-grams, sorted by hash, and which of them each predicted token needs."""
+
+    def __init__(self, tokens: np.ndarray, begin: np.ndarray):
+        one, two, three = grams(tokens)
+        at = self.at = predicted(begin)
+        pair = np.ones(len(tokens), bool)  # all 2-grams are counted, that of the borders too: they are contexts
+        pair[begin[:-1][np.diff(begin) > 0]] = False
+        flat = np.concatenate([one[at], three[at], two[pair], np.repeat(_TOTAL, min(1, len(at)))])
+        self.code, self.to = np.unique(flat, return_inverse=True)
+        self.pair = np.flatnonzero(pair)
+        # 1-, 2- and 3-gram of each predicted token, and the contexts of the last two
+        m = len(at)
+        seen = np.zeros(len(tokens) + 1, np.int64)
+        seen[self.pair] = self.to[2 * m : 2 * m + len(self.pair)]
+        single = np.zeros(len(tokens) + 1, np.int64)
+        single[at] = self.to[:m]
+        start = begin[:-1][np.diff(begin) > 0]
+        single[start + 1] = single[begin[1:][np.diff(begin) > 0] - 1]  # the border before a text is as frequent as the one after it
+        self.of = [self.to[:m], seen[at], self.to[m : 2 * m], single[at - 1], seen[at - 1]]
+        self.total = int(self.to[-1]) if m else 0
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(background, target) counts of each n-gram; ``target`` tells of each token whether its text is one."""
+        own = np.concatenate([target[self.at], target[self.at], target[self.pair], np.zeros(min(1, len(self.at)), bool)])
+        n, t = np.bincount(self.to, minlength=len(self.code)), np.bincount(self.to[own], minlength=len(self.code))
+        if len(self.at):
+            n[self.total], t[self.total] = len(self.at), target[self.at].sum()
+        return n, t
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Small counts as bytes; those of 255 and more follow."""
+    large = x[x >= 255].astype(np.int64)
+    return struct.pack("<q", len(x)) + np.minimum(x, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpack_numbers(blob: memoryview) -> tuple[np.ndarray, memoryview]:
+    """(counts, what comes after them)."""
+    n = struct.unpack("<q", blob[:8])[0]
+    out = np.frombuffer(blob[8 : 8 + n], np.uint8).astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    end = 8 + n + 8 * len(large)
+    out[large] = np.frombuffer(blob[8 + n : end], np.int64)
+    return out, blob[end:]
+
+
+def pack_codes(x: np.ndarray) -> bytes:
+    """Sorted distinct hashes as the differences between them, in 6 bytes where they fit."""
+    gap = np.diff(x, prepend=np.uint64(0))
+    wide = len(gap) > 1 and int(gap[1:].max()) >> 48 > 0
+    head = struct.pack("<q?Q", len(x), wide, int(x[0]) if len(x) else 0)
+    if wide:
+        return head + gap[1:].tobytes()
+    return head + gap[1:].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpack_codes(blob: memoryview) -> tuple[np.ndarray, memoryview]:
+    n, wide, first = struct.unpack("<q?Q", blob[:17])
+    gap = np.zeros(n, np.uint64)
+    end = 17 + max(0, n - 1) * (8 if wide else 6)
+    if n:
+        gap[0] = first
+        if wide:
+            gap[1:] = np.frombuffer(blob[17:end], np.uint64)
+        else:
+            gap[1:].view(np.uint8).reshape(-1, 8)[:, :6] = np.frombuffer(blob[17:end], np.uint8).reshape(6, -1).T
+    return np.cumsum(gap, dtype=np.uint64), blob[end:]
 
-ORDER, DIGITS = 5, 6
-PASS_NGRAMS = 4 << 20
-TASK_IDS = 2 << 20
-_K = np.uint64(0x9E3779B97F4A7C15)
 
+def losses(n: list[np.ndarray], total: np.ndarray | float) -> np.ndarray:
+    """Thousandths of bits, from the counts of each token's 1-, 2- and 3-gram and of the contexts of the last two."""
+    p = (n[0] + PRIOR / WORDS) / (total + PRIOR)
+    p = (n[1] + PRIOR * p) / (n[3] + PRIOR)
+    p = (n[2] + PRIOR * p) / (n[4] + PRIOR)
+    return np.rint(-np.log2(p) * 1000).astype(np.int64)
 
-def codes(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each byte, as an integer; its last byte is the lowest, 0 stands for the border.
 
-    A zero byte in a text can't be told from the border; it is counted as byte 1.
-    """
-    x = np.maximum(data, 1).astype(np.uint64)
-    out = x.copy()
-    for j in range(1, order):
-        out[j:] |= x[:-j] << np.uint64(8 * j)
-    if order > 1 and len(x):
-        size = np.diff(offs)
-        for j in range(order - 1):  # byte j of a text knows the j bytes before it only
-            at = offs[:-1][size > j] + j
-            out[at] &= np.uint64((1 << 8 * (j + 1)) - 1)
-    return out
+def _parts(code: np.ndarray, parts: int) -> np.ndarray:
+    """Where the n-grams of each part begin among sorted hashes; parts are ranges of hashes."""
+    edge = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(code, edge), [len(code)]])
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    code = np.concatenate([p[0] for p in parts])
-    by = np.argsort(code, kind="stable")
-    code = code[by]
-    edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-    return code[edge], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[by], edge) if len(code) else np.zeros(0, np.int64) for k in (1, 2))
+_ASKED = "to int, part int, origin bigint, kind int, blob binary"
 
 
-def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return small_batches(docs).select(F.col(plain(doc_id)).alias("doc_id"), F.col(plain(text)).cast("string").alias("text"))
+def _row(rows: list[tuple]) -> pa.RecordBatch:
+    to, part, origin, kind, blob = zip(*rows)
+    return pa.record_batch([pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array(origin, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["to", "part", "origin", "kind", "blob"])
 
 
-def counts(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, task_ids: int = TASK_IDS) -> DataFrame:
-    """(code, background, target): counts of every n-gram of the corpus. ``targets`` has the ids of the target documents in its first column."""
-    df = _source(docs, text, doc_id).where("text != ''")
-    ids = targets.select(F.col(plain(targets.columns[0])).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    integer = dict(ids.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
-    few = ids.limit(task_ids + 1).toArrow().column("doc_id") if integer else []
-    if integer and len(few) <= task_ids:
-        known = np.sort(few.to_numpy().astype(np.int64))
-        df = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(False).alias("target"))
-    else:
-        known = None
-        df = df.join(ids.withColumn("target", F.lit(True)), "doc_id", "left").select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target"))
+def _home(origin: int, partitions: int) -> int:
+    """The partition of a slice's answers."""
+    return int(mix(np.array([origin], np.uint64))[0] % np.uint64(partitions))
+
+
+def _ask(parts: int, partitions: int, known: np.ndarray | None, slice_bytes: int):
+    """Questions of (doc_id, text, target) rows: a row a slice and part, and one with the slice itself, which no part needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in slices(batches, "text", 8 << 20):
+        task = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        size = number = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            origin = task << 32 | number
+            number += 1
             data, offs = buffers(batch.column(1))
+            start, end, first = words(data, offs)
+            word = span_hashes(data, start, end)
+            tokens, begin = sequences(word, first)
+            q = Questions(tokens, begin)
             if known is None:
                 wanted = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             else:
-                ids_ = batch.column(0).fill_null(0).to_numpy()
-                wanted = np.isin(ids_, known) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            code = codes(data, offs, order)
-            own = np.repeat(wanted, np.diff(offs))
-            part = []
-            for of_target in (False, True):
-                u, n = np.unique(code[own == of_target], return_counts=True)
-                part.append((u, n, n if of_target else np.zeros(len(n), np.int64)))
-            held.append(_merged(part))
-            size += len(held[-1][0])
-            if size > 3 << 20:
-                held = [_merged(held)]
-                size = len(held[0][0])
+                wanted = np.isin(batch.column(0).fill_null(0).to_numpy(), known) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            n, t = q.counts(np.repeat(wanted, np.diff(begin)))
+            vocabulary, local = np.unique(word, return_inverse=True)
+            narrow = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
+            ids = pa.RecordBatch.from_arrays([batch.column(0)], ["doc_id"]).serialize().to_pybytes()
+            head = struct.pack("<qq?q", len(vocabulary), len(word), narrow is np.uint16, len(ids)) + ids + vocabulary.tobytes() + local.astype(narrow).tobytes() + pack_numbers(np.diff(first))
+            yield _row([(_home(origin, partitions), -1, origin, 0, head)])
+            edges = _parts(q.code, parts)
+            rows, heavy = [], 0
+            for k in range(parts):
+                own = slice(edges[k], edges[k + 1])
+                if edges[k] == edges[k + 1]:
+                    continue
+                blob = pack_codes(q.code[own]) + pack_numbers(n[own]) + pack_numbers(t[own])
+                rows.append((k % partitions, k, origin, 1, blob))
+                heavy += len(blob)
+                if heavy > 1 << 20:
+                    yield _row(rows)
+                    rows, heavy = [], 0
+            if rows:
+                yield _row(rows)
+
+        for batch in slices(batches, "text", slice_bytes):
+            held.append(batch)
+            size += int(batch.column(1).nbytes)
+            if size >= slice_bytes:
+                yield from flush()
+                size = 0
         if held:
-            code, b, t = _merged(held)
-            for at in range(0, len(code), 1 << 18):
-                cut = slice(at, at + (1 << 18))
-                yield pa.record_batch([pa.array(code[cut].view(np.int64)), pa.array(b[cut]), pa.array(t[cut])], ["code", "background", "target"])
-
-    return df.mapInArrow(run, "code bigint, background bigint, target bigint").groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(count: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, background, target): bits that each model loses on the last token of each n-gram."""
-    levels = {order: count}
-    for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    below = None
-    for k in range(1, order + 1):
-        here = levels[k].withColumn("context", F.shiftright("code", 8))
-        context = here.groupBy("context").agg(
-            *[F.sum(c).alias(f"n_{c}") for c in ("background", "target")],
-            *[F.count(F.when(F.col(c) > 0, 1)).alias(f"t_{c}") for c in ("background", "target")],
-        )
-        here = here.join(context, "context")
-        if below is None:
-            here = here.withColumns({"p_background": F.lit(1 / 256), "p_target": F.lit(1 / 256)})
-        else:
-            here = here.withColumn("low", F.col("code").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "low")
-        p = {
-            f"q_{c}": F.when(F.col(f"n_{c}") == 0, F.col(f"p_{c}")).otherwise((F.col(c) + F.col(f"t_{c}") * F.col(f"p_{c}")) / F.greatest(F.col(f"n_{c}") + F.col(f"t_{c}"), F.lit(1)))
-            for c in ("background", "target")
-        }
-        below = here.select(F.col("code").alias("low"), *[e.alias(f"p_{n[2:]}") for n, e in p.items()])
-    return below.select(F.col("low").alias("code"), *[(-F.log2(f"p_{c}")).alias(c) for c in ("background", "target")])
-
-
-class Lookup:
-    """An open-addressing table from n-gram to its two losses."""
-
-    def __init__(self, code: np.ndarray, background: np.ndarray, target: np.ndarray):
-        bits = max(4, int(2 * len(code)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.zeros(1 << bits, np.uint64)  # 0 is no n-gram: its last byte is never the border
-        self.at = np.full(1 << bits, len(code), np.int32)
-        left = np.arange(len(code))
-        slot = self._slot(code)
-        while len(left):
-            free = self.keys[slot] == 0
-            first = np.unique(slot[free], return_index=True)[1]
-            won = np.flatnonzero(free)[first]
-            self.keys[slot[won]] = code[left[won]]
-            self.at[slot[won]] = left[won]
-            stay = np.ones(len(left), bool)
-            stay[won] = False
-            left, slot = left[stay], (slot[stay] + 1) & (len(self.keys) - 1)
-        self.losses = np.append(np.stack([background, target], 1), np.zeros((1, 2)), 0)
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code * _K) >> self.shift).astype(np.int64)
-
-    def find(self, code: np.ndarray) -> np.ndarray:
-        """[background, target] bits of each n-gram; 0 for those of another pass."""
-        slot = self._slot(code)
-        there = self.keys[slot]
-        open_ = np.flatnonzero((there != code) & (there != 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
-            there = self.keys[slot[open_]]
-            open_ = open_[(there != code[open_]) & (there != 0)]
-        return self.losses[np.where(self.keys[slot] == code, self.at[slot], len(self.losses) - 1)]
-
-
-_built: dict[str, Lookup] = {}
-
-
-def score(docs: DataFrame, loss: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, pass_ngrams: int = PASS_NGRAMS) -> DataFrame:
-    """(doc_id, n_tokens, target_bits, background_bits, score) of each row, to ``DIGITS`` places; ``loss`` must have been counted over these documents at least."""
-    loss = written(loss, "losses")
-    df = _source(docs, text, doc_id)
-    passes = max(1, -(-loss.count() // pass_ngrams))
-    if passes == 1:
-        sums = _pass(df, loss, order)
-    else:
-        key = ["doc_id", "_key"]
-        keyed = df.withColumn("_key", F.xxhash64("text"))
-        parts = None
-        for k in range(passes):
-            part = _pass(keyed.dropDuplicates(key), loss.where(F.pmod(F.xxhash64("code"), F.lit(passes)) == k), order)
-            parts = part if parts is None else parts.unionByName(part)
-        added = parts.groupBy(*key).agg(F.max("n_tokens").alias("n_tokens"), F.sum("background").alias("background"), F.sum("target").alias("target"))
-        a, b = keyed.select(*key).alias("a"), added.alias("b")
-        sums = a.join(b, F.expr("a.doc_id <=> b.doc_id AND a._key <=> b._key")).select("a.doc_id", "n_tokens", "background", "target")
-    n = F.nullif(F.col("n_tokens"), F.lit(0))
-    mean = {"target_bits": F.col("target") / n, "background_bits": F.col("background") / n, "score": (F.col("target") - F.col("background")) / n}
-    return sums.select("doc_id", "n_tokens", *[(F.round(v, DIGITS) + 0.0).alias(k) for k, v in mean.items()])
+            yield from flush()
+
+    return run
 
 
-def _pass(df: DataFrame, loss: DataFrame, order: int) -> DataFrame:
-    part = loss.select("code", "background", "target").toArrow()
-    code, background, target = (part.column(k).to_numpy() for k in range(3))
-    name = uuid.uuid4().hex
-    kept = [c for c in df.columns if c != "text"]
-    src = df.select(*kept, "text")
+def _answer(partitions: int):
+    """Answers to questions that are sorted by part: the sums of all questions about an n-gram, in the order of each question. Slices pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:
-            _built.clear()
-            _built[name] = Lookup(code.view(np.uint64), background, target)
-        look = _built[name]
-        for batch in slices(batches, "text"):
-            data, offs = buffers(batch.column(batch.num_columns - 1))
-            bits = np.zeros((len(data) + 1, 2))
-            np.cumsum(look.find(codes(data, offs, order)), 0, out=bits[1:])
-            total = bits[offs[1:]] - bits[offs[:-1]]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(np.diff(offs)), pa.array(total[:, 0]), pa.array(total[:, 1])], [*kept, "n_tokens", "background", "target"])
+        held: list[tuple[int, bytes]] = []
+        part = -1
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, n, t = [], [], []
+            for _, blob in held:
+                c, rest = unpack_codes(memoryview(blob))
+                a, rest = unpack_numbers(rest)
+                b, _ = unpack_numbers(rest)
+                code.append(c)
+                n.append(a.astype(np.float64))
+                t.append(b.astype(np.float64))
+            sizes = [len(c) for c in code]
+            _, to = np.unique(np.concatenate(code), return_inverse=True)
+            del code
+            # sums of counts are exact as doubles up to 2 ** 53
+            n, t = (np.bincount(to, np.concatenate(x))[to].astype(np.int64) for x in (n, t))
+            rows, heavy, at = [], 0, 0
+            for (origin, _), size in zip(held, sizes):
+                blob = pack_numbers(n[at : at + size]) + pack_numbers(t[at : at + size])
+                at += size
+                rows.append((_home(origin, partitions), part, origin, 2, blob))
+                heavy += len(blob)
+                if heavy > 1 << 20:
+                    yield _row(rows)
+                    rows, heavy = [], 0
+            if rows:
+                yield _row(rows)
+            held.clear()
+
+        for batch in batches:
+            for i, (own, origin) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if own < 0:
+                    yield batch.slice(i, 1)
+                    continue
+                if own != part and held:
+                    yield from flush()
+                part = own
+                held.append((origin, batch.column(4)[i].as_py()))
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _score(parts: int, kind: pa.DataType):
+    """Results of slices: rows sorted by slice, the slice itself first and then its answers by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        origin = None
+
+        def flush() -> pa.RecordBatch:
+            head = memoryview(held[0][1])
+            n_vocabulary, n_words, narrow, n_ids = struct.unpack("<qq?q", head[:25])
+            ids = pa.ipc.read_record_batch(pa.py_buffer(head[25 : 25 + n_ids]), pa.schema([("doc_id", kind)])).column(0)
+            at = 25 + n_ids
+            vocabulary = np.frombuffer(head[at : at + 8 * n_vocabulary], np.uint64)
+            at += 8 * n_vocabulary
+            wide = 2 if narrow else 4
+            local = np.frombuffer(head[at : at + wide * n_words], np.uint16 if narrow else np.uint32)
+            size, _ = unpack_numbers(head[at + wide * n_words :])
+            tokens, begin = sequences(vocabulary[local], np.concatenate([[0], np.cumsum(size)]))
+            q = Questions(tokens, begin)
+            answers = {part: blob for part, blob in held[1:]}
+            edges = _parts(q.code, parts)
+            n = np.zeros((2, len(q.code)))
+            for k, blob in answers.items():
+                own = slice(edges[k], edges[k + 1])
+                n[0, own], rest = unpack_numbers(memoryview(blob))
+                n[1, own], _ = unpack_numbers(rest)
+            held.clear()
+            live = np.diff(begin) > 0
+            count = np.where(live, np.diff(begin) - 2, 0)
+            sums = []
+            for model in n:
+                bits = np.concatenate([[0], np.cumsum(losses([model[x] for x in q.of], model[q.total] if len(q.at) else 0.0))])
+                edge = np.concatenate([[0], np.cumsum(count)])
+                sums.append(bits[edge[1:]] - bits[edge[:-1]])
+            return pa.record_batch([ids, pa.array(count), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "n_tokens", "background", "target"])
+
+        for batch in batches:
+            for i, (own, part) in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())):
+                if own != origin and held:
+                    yield flush()
+                origin = own
+                held.append((part, batch.column(4)[i].as_py()))
+        if held:
+            yield flush()
+
+    return run
 
-    return src.mapInArrow(run, ", ".join([*[f"`{c}` {src.schema[c].dataType.simpleString()}" for c in kept], "n_tokens bigint, background double, target double"]))
 
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", task_ids: int = TASK_IDS, slice_bytes: int = SLICE) -> DataFrame:
+    """(doc_id, n_tokens, target_bits, background_bits, score) of each row: means a token, to ``DIGITS`` places.
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, task_ids: int = TASK_IDS, pass_ngrams: int = PASS_NGRAMS) -> DataFrame:
-    count = written(counts(docs, targets, text, doc_id, order, task_ids), "ngrams")
-    return score(docs, losses(count, order), text, doc_id, order, pass_ngrams)
+    ``targets`` has the ids of the target documents in its first column.
+    """
+    df = small_batches(docs).select(F.col(plain(doc_id)).alias("doc_id"), F.lower(F.col(plain(text)).cast("string")).alias("text"))
+    ids = targets.select(F.col(plain(targets.columns[0])).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    kind = df.schema["doc_id"].dataType
+    known = None
+    if kind.simpleString() == dict(ids.dtypes)["doc_id"] and kind.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        few = ids.limit(task_ids + 1).toArrow().column("doc_id")
+        known = np.sort(few.to_numpy().astype(np.int64)) if len(few) <= task_ids else None
+    if known is None:
+        df = df.join(ids.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    else:
+        df = df.withColumn("target", F.lit(False))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(kind)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * partitions
+    asked = df.mapInArrow(_ask(parts, partitions, known, slice_bytes), _ASKED)
+    answered = asked.repartitionById(partitions, F.col("to")).sortWithinPartitions("part", "origin").mapInArrow(_answer(partitions), _ASKED)
+    sums = answered.repartitionById(partitions, F.col("to")).sortWithinPartitions("origin", "part").mapInArrow(_score(parts, arrow), f"doc_id {kind.simpleString()}, n_tokens bigint, background bigint, target bigint")
+    n = F.nullif(F.col("n_tokens"), F.lit(0)) * F.lit(1000.0)
+    mean = {"target_bits": F.col("target") / n, "background_bits": F.col("background") / n, "score": (F.col("target") - F.col("background")) / n}
+    return sums.select("doc_id", "n_tokens", *[(F.round(v, DIGITS) + 0.0).alias(k) for k, v in mean.items()])
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,23 +375,18 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
-def _oracle() -> str:
-    """The same models in SQL, over the texts' bytes as hexadecimal digits."""
-    parts = [
-        """WITH d AS (
-  SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS good, repeat('00', 4) || hex(encode(text)) AS h, octet_length(encode(text)) AS n, row_number() OVER () AS r FROM documents
-), g AS (SELECT r, good, substr(h, (2 * i + 1)::BIGINT, 10) AS g FROM (SELECT r, good, h, unnest(range(n)) AS i FROM d)),
-c5 AS (SELECT g, count(*)::DOUBLE AS b, count(*) FILTER (good)::DOUBLE AS t FROM g GROUP BY g)"""
-    ]
-    parts += [f"c{k} AS (SELECT substr(g, 3) AS g, sum(b) AS b, sum(t) AS t FROM c{k + 1} GROUP BY 1)" for k in (4, 3, 2, 1)]
-    for k in range(1, 6):
-        low = "1 / 256::DOUBLE" if k == 1 else "l.p"
-        mixed = [f"CASE WHEN n{m} = 0 THEN {low}{m if k > 1 else ''} ELSE ({m} + t{m} * {low}{m if k > 1 else ''}) / (n{m} + t{m}) END AS p{m}" for m in "bt"]
-        parts.append(f"x{k} AS (SELECT left(g, {2 * k - 2}) AS x, sum(b) AS nb, sum(t) AS nt, count(*) FILTER (b > 0) AS tb, count(*) FILTER (t > 0) AS tt FROM c{k} GROUP BY 1)")
-        parts.append(f"p{k} AS (SELECT c.g, {', '.join(mixed)} FROM c{k} c JOIN x{k} ON x = left(c.g, {2 * k - 2})" + (f" JOIN p{k - 1} l ON l.g = substr(c.g, 3)" if k > 1 else "") + ")")
-    return ",\n".join(parts) + """,
-s AS (SELECT r, sum(-log2(pt)) AS t, sum(-log2(pb)) AS b FROM g JOIN p5 USING (g) GROUP BY r)
-SELECT doc_id, n AS n_tokens, round(t / n, 6) + 0.0 AS target_bits, round(b / n, 6) + 0.0 AS background_bits, round((t - b) / n, 6) + 0.0 AS score FROM d LEFT JOIN s USING (r)"""
-
-
-ORACLE = _oracle()
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS good, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w, row_number() OVER () AS r FROM documents
+), x AS (SELECT r, good, list_concat(['', ''], w, ['']) AS x FROM d WHERE len(w) > 0),
+g AS (SELECT r, good, x[i - 2] AS u, x[i - 1] AS v, x[i] AS w FROM (SELECT r, good, x, unnest(range(3, len(x) + 1)) AS i FROM x)),
+c1 AS (SELECT w, count(*) AS b, count(*) FILTER (good) AS t FROM g GROUP BY ALL),
+c2 AS (SELECT v, w, count(*) AS b, count(*) FILTER (good) AS t FROM g GROUP BY ALL UNION ALL SELECT '', '', count(*), count(*) FILTER (good) FROM x),
+c3 AS (SELECT u, v, w, count(*) AS b, count(*) FILTER (good) AS t FROM g GROUP BY ALL),
+n AS (SELECT sum(b) AS b, sum(t) AS t FROM c1),
+p1 AS (SELECT w, (c1.b + {PRIOR / WORDS}::DOUBLE) / (n.b + {PRIOR}::DOUBLE) AS b, (c1.t + {PRIOR / WORDS}::DOUBLE) / (n.t + {PRIOR}::DOUBLE) AS t FROM c1, n),
+p2 AS (SELECT c.v, c.w, (c.b + {PRIOR}::DOUBLE * p1.b) / (x.b + {PRIOR}::DOUBLE) AS b, (c.t + {PRIOR}::DOUBLE * p1.t) / (x.t + {PRIOR}::DOUBLE) AS t FROM c2 c JOIN p1 ON p1.w = c.w JOIN c1 x ON x.w = c.v),
+p3 AS (SELECT c.u, c.v, c.w, round(-log2((c.b + {PRIOR}::DOUBLE * p2.b) / (x.b + {PRIOR}::DOUBLE)) * 1000) AS b, round(-log2((c.t + {PRIOR}::DOUBLE * p2.t) / (x.t + {PRIOR}::DOUBLE)) * 1000) AS t
+  FROM c3 c JOIN p2 ON p2.v = c.v AND p2.w = c.w JOIN c2 x ON x.v = c.u AND x.w = c.v),
+s AS (SELECT r, count(*) AS n, sum(b) AS b, sum(t) AS t FROM g JOIN p3 USING (u, v, w) GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(t / (n * 1000.0::DOUBLE), {DIGITS}) + 0.0 AS target_bits, round(b / (n * 1000.0::DOUBLE), {DIGITS}) + 0.0 AS background_bits, round((t - b) / (n * 1000.0::DOUBLE), {DIGITS}) + 0.0 AS score FROM d LEFT JOIN s USING (r)"""

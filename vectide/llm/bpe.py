@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pieces of a whole slice of the corpus lie in one symbol array. An
+A task gathers the distinct pieces of its part of the corpus, ``CORPUS_BYTES`` of text at a time, and keeps what it has learnt of them: a piece is
+merged once, however often it comes. New pieces lie in one symbol array. An
 inverted index leads from each mergeable pair to the positions where it stands;
 merges are applied in rank order, each to all its positions at once, and only
 the neighbours that a merge touched are looked up again. Documents are then put
@@ -11,7 +12,9 @@ Defined results
     null text      null tokens and a null count; decoding null gives null
     empty text     no tokens, count 0; decoding no tokens gives the empty text
     repeated rows  each is encoded
-    very long text one slice of its own; nothing is cut
+    very long text one slice of its own; nothing is cut, and a single piece may be as long as the text
+    ties           two places of one pair that overlap: the left one is merged
+    empty table    no rows
     other columns  pass through; one that is named as a new column is replaced
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -35,6 +39,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose pieces are merged together.
 CORPUS_BYTES = 8 << 20
+#: Pieces, and bytes of them, that a worker keeps; beyond, it begins anew.
+PIECES, PIECE_BYTES = 1 << 18, 8 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -44,6 +50,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Pieces(dict):
+    """Numbers pieces as they come."""
+
+    def __missing__(self, piece: str) -> int:
+        k = self[piece] = len(self)
+        return k
+
+
 class Merges:
     """A vocabulary's merges: ranks by pair, and the bytes of every token."""
 
@@ -68,6 +82,31 @@ class Merges:
         self.starts = np.concatenate([[0], np.cumsum(size)])
         self.bytes = np.frombuffer(b"".join(texts.get(i, b"") for i in range(len(size))), np.uint8)
         self.split = regex.compile(PATTERN).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.known_bytes = _Pieces(), 0
+        self.tokens, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def pieces(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's pieces, of which ``tokens`` and ``first`` have the tokens until the next call."""
+        if len(self.known) > PIECES or self.known_bytes > PIECE_BYTES:
+            self.forget()
+        had = len(self.known)
+        ids = [np.fromiter(map(self.known.__getitem__, self.split(x)), np.int32) if x else np.zeros(0, np.int32) for x in texts]
+        fresh = [p.encode() for p in itertools.islice(self.known, had, None)]
+        if fresh:
+            offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))])
+            self.known_bytes += int(offs[-1])
+            tokens, first = self.replay(np.frombuffer(b"".join(fresh), np.uint8), offs)
+            self.tokens, self.first = np.append(self.tokens, tokens), np.append(self.first, self.first[-1] + first[1:])
+        return ids
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """The number of tokens of each text."""
+        ids = self.pieces(texts)
+        count = np.diff(self.first)
+        return np.array([count[x].sum() for x in ids], np.int64)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the pair doesn't merge."""
@@ -140,20 +179,10 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-class _Pieces(dict):
-    def __missing__(self, piece: str) -> int:
-        k = self[piece] = len(self)
-        return k
-
-
 def encode_slice(m: Merges, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Encode texts together. Yields (number of texts, their tokens, where each text's begin), about 2 MB of text at a time."""
-    pieces = _Pieces()
-    ids = [np.fromiter(map(pieces.__getitem__, m.split(x)), np.int32) if x else np.zeros(0, np.int32) for x in texts]
-    raw = [p.encode() for p in pieces]
-    offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
-    tokens, first = m.replay(np.frombuffer(b"".join(raw), np.uint8), offs)
-    del raw, pieces
+    ids = m.pieces(texts)
+    tokens, first = m.tokens, m.first
     count = np.diff(first)
     at = 0
     while at < len(ids):

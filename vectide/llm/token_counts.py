@@ -2,11 +2,13 @@
 
 Documents are aggregated by encoded length; suffix sums over the histogram then
 answer totals, quantiles and truncated totals for every context limit without
-touching a document again.
+touching a document again. Texts are encoded as the BPE operator does it, and only the tokens' number is kept.
 
 Defined results
     null text      has no length and is not counted
     empty text     has length 0 and is counted
+    very long text counted whole, however long one of its pieces is
+    ties           texts of one length are one row
     repeated rows  each row counts
     empty table    the histogram and everything derived from it are empty
     other columns  are never read, so their names can't clash
@@ -14,8 +16,7 @@ Defined results
 
 from __future__ import annotations
 
-import base64
-import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,30 +26,17 @@ from pyspark.sql import functions as F
 
 from ._arrow import slices, small_batches
 from ._storage import plain, table
-
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@functools.lru_cache(2)
-def encoder(vocabulary: str):
-    import tiktoken
-
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+from .bpe import VOCABULARY, merges
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(n_tokens, documents): how many documents have each encoded length. Tasks send one row per length, not per document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
-        seen: dict[int, int] = {}
+        m = merges(vocabulary)
+        seen: Counter[int] = Counter()
         for batch in slices(batches, "text"):
-            for x in batch.column(0).to_pylist():
-                n = len(encode(x))
-                seen[n] = seen.get(n, 0) + 1
+            seen.update(m.lengths(batch.column(0).to_pylist()).tolist())
         yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "documents"])
 
     return (

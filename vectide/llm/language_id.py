@@ -7,17 +7,20 @@ bits a byte (phrases x log2 of the labelled text's length / bytes), so languages
 with more or less labelled text compare.
 
 Documents are parsed side by side: automata are dense tables, and one numpy step
-moves thousands of (segment, language) lanes on by a byte. A text is cut into
-segments of ``SEGMENT`` bytes for that, at which a phrase ends; all of the text is
-parsed.
+moves thousands of (segment, language) lanes on by a byte. For that a text is cut into
+segments of ``SEGMENT`` bytes, each parsed as if a phrase began with it. Then the phrase that really crosses each
+border is followed until it and the segment's own parse begin a phrase at the same byte, from where on they are the same.
+So the phrases are those of the whole text, parsed from its beginning.
 
 Defined results
     null or empty text   no language: null ``language``, ``bits`` and ``margin``
+    very long text       parsed whole
     ties                 the first language in alphabetical order
+    empty tables         no rows; no labelled text
     repeated rows        each row has its result
     no labelled text     every ``language`` is null
     one language only    ``margin`` is null
-    other columns        only those named in ``keep`` are carried along
+    other columns        only those named in ``keep`` are carried along; one that is named as a new column is left out
 """
 
 from __future__ import annotations
@@ -35,9 +38,8 @@ from ._arrow import buffers, slices, small_batches
 from ._storage import plain, table
 
 SEGMENT = 1024
-#: Bounds of the labelled text a language: documents, and bytes.
+#: Bounds of the labelled text a language: documents, and bytes of them. Documents are taken whole.
 TRAIN_DOCS, TRAIN_BYTES = 64, 40_000
-_BREAK = np.int32(-(1 << 31))
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[48:58] = 48
 _CLASS[[*range(33), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
@@ -117,28 +119,76 @@ class Parser:
         doc = np.repeat(np.arange(n), parts)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
         start = offs[doc] + nth * SEGMENT
-        left = np.minimum(offs[doc + 1] - start, SEGMENT)
-        by = np.argsort(-left, kind="stable")
-        doc, start, left = doc[by], start[by], left[by]
-        m = len(doc)
-        total = np.zeros((m, k), np.int32)
-        if m and k:
-            sym = np.append(self.symbol[data], 0)
-            grid = np.minimum(start[None, :] + np.arange(left[0])[:, None], len(data))
-            grid = sym[grid]
-            live = np.searchsorted(-left, -np.arange(left[0]), "left")  # lanes longer than each step
-            state = np.tile(np.array(self.start, np.int32), (m, 1))
-            count = np.zeros((m, k), np.int32)
-            for step in range(int(left[0])):
-                w = live[step]
-                v = self.table.take(state[:w] + grid[step, :w, None])
-                count[:w] += v >> 31
-                state[:w] = v & 0x7FFFFFFF
-            total = -count
+        end = np.minimum(offs[doc + 1], start + SEGMENT)
         out = np.zeros((n, k), np.int64)
-        np.add.at(out, doc, total)
+        if not len(doc) or not k:
+            return out
+        sym = np.append(self.symbol[data], 0)
+        begins = np.zeros((len(data), k), bool)  # where each segment's own parse begins phrases
+        fresh = np.tile(np.array(self.start, np.int32), (len(doc), 1))
+        count, own_end = self._run(sym, start, end, fresh, begins)
+        state = own_end.copy()
+        # follow what crosses each border; where it has come to nothing new at a segment's end, it goes on into the next one
+        into = np.flatnonzero(nth > 0)
+        came = state[into - 1]
+        while len(into):
+            seen, there, left, synced = self._follow(sym, start[into], end[into], came, begins)
+            count[into] = seen + there
+            # the state at the segment's end is another than the next one was given: that one is parsed again, from its own beginning on
+            own = np.where(synced, own_end[into], left)
+            changed = (own != state[into]).any(1)
+            state[into] = own
+            on = into[changed] + 1
+            on = on[(on < len(doc))]
+            on = on[nth[on] > 0]
+            into, came = on, state[on - 1]
+        np.add.at(out, doc, count)
         return out
 
+    def _run(self, sym: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that begin in each segment, state at its end); ``begins`` is told where."""
+        by = np.argsort(start - end, kind="stable")
+        left = (end - start)[by]
+        live = np.searchsorted(-left, -np.arange(left[0]), "left")  # lanes longer than each step
+        at, state = start[by].copy(), state[by].copy()
+        count = np.zeros(state.shape, np.int64)
+        for w in live.tolist():
+            v = self.table.take(state[:w] + sym[at[:w], None])
+            hit = v < 0
+            begins[at[:w]] = hit
+            count[:w] += hit
+            state[:w] = v & 0x7FFFFFFF
+            at[:w] += 1
+        back = np.argsort(by)
+        return count[back], state[back]
+
+    def _follow(self, sym: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each segment that is entered in a state: phrases that begin up to where both parses agree, those of the segment's own parse from there on, the state at the end, and whether they agreed."""
+        m, k = state.shape
+        state = state.copy()
+        seen, there = np.zeros((m, k), np.int64), np.zeros((m, k), np.int64)
+        lane, lang = (x.ravel() for x in np.indices((m, k)))
+        synced = np.zeros((m, k), bool)
+        step = 0
+        while len(lane):
+            at = start[lane] + step
+            over = at >= end[lane]
+            if over.any():
+                lane, lang, at = lane[~over], lang[~over], at[~over]
+                if not len(lane):
+                    break
+            v = self.table.take(state[lane, lang] + sym[at])
+            hit = v < 0
+            state[lane, lang] = v & 0x7FFFFFFF
+            both = hit & begins[at, lang]
+            seen[lane[hit & ~both], lang[hit & ~both]] += 1
+            a, b = lane[both], lang[both]
+            synced[a, b] = True
+            for x, y, z in zip(a.tolist(), b.tolist(), at[both].tolist()):
+                there[x, y] = np.count_nonzero(begins[z : end[x], y])
+            lane, lang = lane[~both], lang[~both]
+            step += 1
+        return seen, there, state, synced
 
 @functools.lru_cache(1)
 def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
@@ -146,7 +196,7 @@ def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
 
 
 def labelled_text(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[tuple[str, bytes], ...]:
-    """Labelled text a language, in lower case, of documents chosen by a hash of their id: at most ``most_docs`` documents and ``most_bytes`` bytes.
+    """Labelled text a language, in lower case, of documents chosen by a hash of their id: at most ``most_docs`` documents, of which those that fit into ``most_bytes`` bytes, whole.
 
     Ids are ranked without the texts; only the chosen documents' texts come to the driver.
     """
@@ -155,25 +205,25 @@ def labelled_text(docs: DataFrame, text: str = "text", label: str = "lang", doc_
     chosen = df.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "label").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most_docs)
     ids = chosen.select("doc_id").distinct()  # most_docs x languages ids
     found = df.where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("label", "doc_id", F.lower("text").alias("text")).where("label IS NOT NULL").collect()
-    texts: dict[str, list[bytes]] = {}
-    for label_, _, text_ in sorted(found, key=lambda r: (r[0], r[1], r[2])):
-        texts.setdefault(label_, []).append(text_.encode())
+    texts: dict[str, list[tuple[int, bytes]]] = {}
+    for label_, own_id, text_ in sorted(found, key=lambda r: (r[0], r[1], r[2])):
+        if text_:
+            texts.setdefault(label_, []).append((own_id, text_.encode()))
     out = {}
     for name, parts in texts.items():
-        share = max(1, most_bytes // len(parts))
-        spare = most_bytes - sum(min(share, len(p)) for p in parts)
-        cut = []
-        for p in parts:  # long documents share what short ones leave
-            take = min(len(p), share + max(0, spare))
-            spare -= max(0, take - share)
-            cut.append(p[:take])
-        out[name] = b"\n".join(cut)
-    return tuple((k, v) for k, v in sorted(out.items()) if v)
+        # whole documents while there is room; if none fits, the shortest
+        taken, room = [], most_bytes
+        for _, p in parts:
+            if len(p) <= room:
+                taken.append(p)
+                room -= len(p)
+        out[name] = b"\n".join(taken or [min((p for _, p in parts), key=len)])
+    return tuple(sorted(out.items()))
 
 
 def identify(docs: DataFrame, texts: tuple[tuple[str, bytes], ...], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``'s columns with ``language``, ``bits`` (a byte, of the best) and ``margin`` (bits to the second)."""
-    df = small_batches(docs).select(*[F.col(plain(c)) for c in keep], F.lower(F.col(plain(text)).cast("string")).alias("__text"))
+    df = small_batches(docs).select(*[F.col(plain(c)) for c in keep if c not in ("language", "bits", "margin")], F.lower(F.col(plain(text)).cast("string")).alias("__text"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("language", T.StringType()), T.StructField("bits", T.DoubleType()), T.StructField("margin", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,11 @@ repeats the one before it, and one for a word in capitals. Texts are read whole.
 Defined results
     null or empty text     probabilities null, ``keep`` false: there is nothing to keep
     no token known         the network's answer for an empty pool
+    very long text         pooled whole
+    ties                   a probability of exactly a half counts as good, and as toxic
+    empty table            no rows
+    few labelled rows      tokens of fewer than ``MIN_DOCS`` documents are unknown, so very few rows give the network little but its bias; a
+                           single one isn't held out, and temperatures stay 1
     repeated rows          each row has its result; labels of one id that differ count as the worst
     no labelled rows       nothing is known: probabilities null, ``keep`` true where there is text
     labels of one kind     the probability is near that kind for all
@@ -150,10 +155,10 @@ class Classifier:
         of, word = np.divmod(once, max(1, len(known)))
         del once
         # every fifth document calibrates; it isn't seen by weights, vectors or network
-        train = np.arange(n) % HELD_OUT > 0 if n >= 2 * HELD_OUT else np.ones(n, bool)
+        train = np.arange(n) % HELD_OUT > 0 if n > 1 else np.ones(n, bool)
         seen = train[of]
         df = np.bincount(word[seen], minlength=len(known))
-        take = df >= min(MIN_DOCS, max(1, n // 20))
+        take = df >= MIN_DOCS
         context = known[take]
         weights = []
         for k in range(y.shape[1]):

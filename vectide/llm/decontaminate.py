@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 A benchmark item is cut into overlapping windows of ``WINDOW`` bytes (a shorter item is one
-window). A document is contaminated by an item if some part of it is within the edit budget, ``RATE`` of the
+window; an item of fewer than ``LEAST`` bytes is found where all of its words stand in a row, without edits). A document is contaminated by an item if some part of it is within the edit budget, ``RATE`` of the
 window's length, of one of its windows, after case, punctuation and spacing are evened out.
 
 Within e edits, w bytes keep w - q + 1 - q e of their q-grams, and all of them lie on
@@ -15,7 +15,8 @@ Documents are read whole and never shuffled: the benchmark's q-grams go to the t
 Defined results
     null or empty text       contaminated by nothing
     null id                  rows of documents give a null ``doc_id``; items without an id aren't searched
-    items under ``LEAST``    bytes after evening out: too short to be evidence, not searched
+    items under ``LEAST``    bytes after evening out: found by whole words, exactly; items without a word aren't searched
+    very long texts          documents and items are searched whole
     repeated items or rows   each (row, item) is reported
     ties between windows     the fewest edits, then the first place
     empty tables             nothing is found
@@ -33,10 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import buffers, filtered, slices, small_batches, _WORD
+from ._arrow import buffers, filtered, shingles, slices, small_batches, span_hashes, words, _WORD
 from ._storage import plain, table
 
-Q, WINDOW, RATE, LEAST = 8, 64, 0.09, 32  # of 9 bytes, windows of 34 and 35 bytes would keep none for certain
+Q, WINDOW, RATE, LEAST = 8, 64, 0.09, 32  # with q-grams of 9 bytes, windows of 34 and 35 bytes would keep none for certain
 PASS_BYTES = 4 << 20
 _BITS = 22
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -81,14 +82,14 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
 def windows(length: int) -> list[tuple[int, int]]:
     """(start, end) of the windows of an item of so many bytes: a step of half a window, the last one ends with the item."""
     if length <= WINDOW:
-        return [(0, length)] if length >= LEAST else []
+        return [(0, length)] if length else []
     starts = [*range(0, length - WINDOW, WINDOW // 2), length - WINDOW]
     return [(s, s + WINDOW) for s in starts]
 
 
 def budget(w: int) -> tuple[int, int]:
     """(edits allowed, q-grams then kept at least) for a window of ``w`` bytes."""
-    e = int(RATE * w)
+    e = int(RATE * w) if w >= LEAST else 0
     return e, w - Q + 1 - Q * e
 
 
@@ -98,13 +99,18 @@ class Index:
     def __init__(self, texts: list[bytes]):
         self.text: list[np.ndarray] = []
         item, edits, least, hashes, of, place = [], [], [], [], [], []
+        short: dict[int, list[tuple[int, int]]] = {}
         for i, t in enumerate(texts):
             raw = np.frombuffer(t, np.uint8)
             x, _, _ = even_out(raw, np.array([0, len(raw)]))
             for s, end in windows(len(x)):
                 w = x[s:end]
                 e, need = budget(len(w))
-                h = gram_hashes(w)
+                h = gram_hashes(w) if len(w) >= LEAST else np.zeros(0, np.uint64)
+                if len(w) < LEAST:
+                    start, to, first = words(w, np.array([0, len(w)]))
+                    own, _ = shingles(span_hashes(w, start, to), first, len(start))
+                    short.setdefault(len(start), []).append((int(own[0]), len(self.text)))
                 hashes.append(h)
                 of.append(np.full(len(h), len(self.text)))
                 place.append(np.arange(len(h)))
@@ -114,7 +120,11 @@ class Index:
                 least.append(need)
         self.item, self.edits, self.least = (np.array(v, np.int64) for v in (item, edits, least))
         self.size = np.array([len(w) for w in self.text], np.int64)
-        sizes, self.kind = np.unique(self.size, return_inverse=True)
+        #: by number of words: hashes of short items, and their windows
+        self.short = {k: tuple(np.array(v, np.uint64 if i == 0 else np.int64) for i, v in enumerate(zip(*sorted(x)))) for k, x in sorted(short.items())}
+        sizes, kind = np.unique(self.size[self.size >= LEAST], return_inverse=True)
+        self.kind = np.zeros(len(self.size), np.int64)
+        self.kind[self.size >= LEAST] = kind
         self.bounds = [(budget(int(w))[1], int(w) + 3 * (budget(int(w))[0] + 1)) for w in sizes]  # (q-grams kept, bytes that hold them) by length
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         by = np.argsort(h, kind="stable")
@@ -127,6 +137,37 @@ class Index:
 
     def search(self, x: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, window, edits, start, end) of all windows found in evened-out texts, one row a text and window."""
+        parts = [self._search_grams(x, offs), *self._search_words(x, offs)]
+        doc, window, *rest = (np.concatenate(p) for p in zip(*parts))
+        by = np.lexsort((window, doc))
+        return doc[by], window[by], *(p[by] for p in rest)
+
+    def _search_words(self, x: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Short items, by the number of their words."""
+        if not self.short:
+            return
+        start, end, first = words(x, offs)
+        h = span_hashes(x, start, end)
+        for k, (wanted, window) in self.short.items():
+            at = np.flatnonzero(np.arange(len(h)) + k <= first[1:].repeat(np.diff(first)))
+            if not len(at):
+                continue
+            own, _ = shingles(np.concatenate([h[i : len(h) - k + 1 + i] for i in range(k)]).reshape(k, -1).T[at].ravel(), np.arange(0, k * len(at) + 1, k), k)
+            lo, hi = np.searchsorted(wanted, own, "left"), np.searchsorted(wanted, own, "right")
+            hit = np.flatnonzero(hi > lo)
+            count = (hi - lo)[hit]
+            entry = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            place, w = np.repeat(at[hit], count), window[entry]
+            a, b = start[place], end[place + k - 1]
+            same = np.array([x[i:j].tobytes() == self.text[v].tobytes() for i, j, v in zip(a, b, w)], bool)
+            a, b, w = a[same], b[same], w[same]
+            doc = np.searchsorted(offs, a, "right") - 1
+            by = np.lexsort((a, w, doc))
+            doc, w, a, b = doc[by], w[by], a[by], b[by]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (w[1:] != w[:-1])) if len(doc) else np.zeros(0, bool)
+            yield doc[new], w[new], np.zeros(new.sum(), np.int64), a[new] - offs[doc[new]], b[new] - offs[doc[new]]
+
+    def _search_grams(self, x: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         none = tuple(np.zeros(0, np.int64) for _ in range(5))
         if not len(self.hash) or len(x) < Q:
             return none
@@ -184,7 +225,7 @@ class Index:
         edits, end = np.full(len(doc), 1 << 20), np.zeros(len(doc), np.int64)
         for w in np.unique(self.size[window]):
             group = np.flatnonzero(self.size[window] == w)
-            e = int(RATE * w)
+            e, _ = budget(int(w))
             wide = 2 * (e + 1) + 2 * e + 1
             columns = np.arange(wide)
             for at in range(0, len(group), 2048):

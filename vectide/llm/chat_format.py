@@ -1,16 +1,19 @@
 """Chat formatting: roles recovered from transcripts by a hidden Markov model.
 
-A transcript is a text of lines; some begin with a speaker's marker ("User:", "## Assistant:", "[bot]", "Q:"), others don't, because
-they go on with a turn or the marker got lost. Hidden states are the roles, each as a turn's first line and
-as a later line. A state emits the marker's role (or none) and features of the line; start, transition and
-emission probabilities are smoothed counts of labelled conversations, of whose markers a share is left out so that
-lines without one are known, too. Viterbi decoding recovers the roles, and the turns are rendered canonically.
+A transcript is a text of lines; some begin with a speaker's marker ("User:", "## Assistant:", "[bot]", "Q:"), which may not tell who it is
+("Speaker:"), others don't, because they go on with a turn or the marker got lost. Hidden states are the roles, each as a turn's first line and
+as a later line. A state emits the marker's role (or someone's, or none) and features of the line; start, transition and
+emission probabilities are smoothed counts of labelled conversations, of whose markers a share is left out, and a share made
+anonymous, so that such lines are known, too. Viterbi decoding recovers the roles, and the turns are rendered canonically.
 
 Defined results
     null transcript        null text, roles and count
     empty transcript       no turns: empty text and roles
     blank lines            belong to the turn that they stand in; at a turn's ends they are dropped
-    no labelled lines      a line with a marker has its role, the others go on with the turn; the first is the user's
+    very long transcript   decoded whole, one step a line
+    empty tables           no rows; no labelled lines
+    no labelled lines      a line with a marker has its role, the others go on with the turn; the first is the user's, and after an
+                           anonymous marker the other of user and assistant speaks
     a marker of no role    is text; a marker that decoding overrules is kept as text
     ties in decoding       the role that comes first in ``ROLES``
     conversations          rows of null id are left out; ties in ``turn`` stand in order of role and text; repeated rows are
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +39,8 @@ from ._arrow import slices
 from ._storage import plain, table
 
 ROLES = ("system", "user", "assistant")
-#: Bound of the labelled conversations, and the share of their markers that is left out.
-TRAIN_CONVERSATIONS, LOST = 2000, 0.02
+#: Bound of the labelled conversations, and the shares of their markers that are left out and made anonymous.
+TRAIN_CONVERSATIONS, LOST, ANONYMOUS = 2000, 0.02, 0.3
 
 _ALIASES = {
     "system": "system sys instruction instructions context",
@@ -45,15 +48,16 @@ _ALIASES = {
     "assistant": "assistant bot ai gpt chatgpt model answer a agent support",
 }
 _ROLE = {name: k for k, role in enumerate(ROLES) for name in _ALIASES[role].split()}
-_MARKER = re.compile(r"\s*[#>*\[(<|\-]*\s*(" + "|".join(sorted(_ROLE, key=len, reverse=True)) + r")\s*(?:[*\])|>]*\s*:\s*[*]*|[\])|>]+\s*)\s*", re.I)
-_NONE = len(ROLES)
+_SOME, _NONE = len(ROLES), len(ROLES) + 1
+_SPEAKER = {**_ROLE, **dict.fromkeys("speaker participant person voice someone unknown".split(), _SOME)}
+_MARKER = re.compile(r"\s*[#>*\[(<|\-]*\s*(" + "|".join(sorted(_SPEAKER, key=len, reverse=True)) + r")\s*(?:[*\])|>]*\s*:\s*[*]*|[\])|>]+\s*)\s*", re.I)
 _SIZES = (_NONE + 1, 12, 2, 2, 2)
 
 
 def marker(line: str) -> tuple[int, int]:
     """(role of the marker that the line begins with, its length); (none, 0) without one."""
     m = _MARKER.match(line)
-    return (_ROLE[m[1].lower()], m.end()) if m else (_NONE, 0)
+    return (_SPEAKER[m[1].lower()], m.end()) if m else (_NONE, 0)
 
 
 def observe(line: str) -> tuple[int, tuple[int, ...]]:
@@ -74,8 +78,10 @@ class Model:
         if not transcripts:  # markers decide, and a line without one goes on
             move[range(k), [s | 1 for s in range(k)]] += 50
             start[2] += 50
+            move[[2, 3, 4, 5], [4, 4, 2, 2]] += 1
         for s in range(k):  # what markers mean is known without any labels
             emit[0][s, s // 2 if s % 2 == 0 else _NONE] += 20 if transcripts else 20_000
+            emit[0][s, _SOME] += (s % 2 == 0) * (5 if transcripts else 5_000)
         for lines in transcripts:
             for i, (s, x) in enumerate(lines):
                 if i:
@@ -131,7 +137,7 @@ def turns(lines: list[str], cut: list[int], seen: np.ndarray, states: np.ndarray
     """(role, text) of each turn; ``cut`` has the markers' lengths, ``seen`` their roles."""
     out: list[tuple[str, list[str]]] = []
     for line, n, m, s in zip(lines, cut, seen, states.tolist()):
-        text = line[n:] if m == s // 2 and s % 2 == 0 else line
+        text = line[n:] if s % 2 == 0 and m in (s // 2, _SOME) else line
         if s % 2 == 0:
             out.append((ROLES[s // 2], []))
         out[-1][1].append(text.rstrip())
@@ -142,7 +148,7 @@ def render(said: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in said)
 
 
-def train(conversations: DataFrame, most: int = TRAIN_CONVERSATIONS, lost: float = LOST) -> bytes:
+def train(conversations: DataFrame, most: int = TRAIN_CONVERSATIONS, lost: float = LOST, anonymous: float = ANONYMOUS) -> bytes:
     """The model, pickled, of labelled (conv_id, turn, role, text) rows of ``most`` conversations, chosen by a hash of their id."""
     rows = conversations.where(F.col("conv_id").isNotNull() & F.lower("role").isin(*_ROLE))
     ids = rows.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(most)
@@ -155,9 +161,10 @@ def train(conversations: DataFrame, most: int = TRAIN_CONVERSATIONS, lost: float
         lines = []
         for k, r in enumerate(conv):
             role = _ROLE[r.role]
-            shown = zlib.crc32(f"{r.conv_id}/{k}".encode()) / 2**32 >= lost
+            chance = zlib.crc32(f"{r.conv_id}/{k}".encode()) / 2**32
+            shown = "" if chance < lost else "Speaker: " if chance < lost + anonymous else f"{r.role}: "
             for i, text in enumerate(r.text.split("\n")):
-                _, x = observe((f"{r.role}: " if shown and i == 0 else "") + text)
+                _, x = observe((shown if i == 0 else "") + text)
                 lines.append((2 * role + (i > 0), x))
         transcripts.append(lines)
     return pickle.dumps(Model(transcripts))
@@ -196,20 +203,25 @@ def parse(transcripts: DataFrame, model: bytes, text: str = "text", keep: tuple[
     return df.mapInArrow(run, schema)
 
 
-def transcripts_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, text): the turns as a transcript, each after its role as marker."""
-    said = F.concat(F.coalesce(F.concat("role", F.lit(": ")), F.lit("")), F.coalesce("text", F.lit("")))
-    return (
-        conversations.where("conv_id IS NOT NULL")
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", said.alias("said")))).alias("turns"))
-        .select("conv_id", F.array_join(F.col("turns.said"), "\n").alias("text"))
-    )
+def transcripts_of(conversations: DataFrame, anonymous: float = 0.0) -> DataFrame:
+    """(conv_id, text): the turns as a transcript, each after its role as marker.
+
+    After a conversation's first turn a share of the markers, chosen by a hash of the conversation and the turn's place in it, is ``Speaker: `` instead.
+    """
+    turns_ = F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("said"))))
+
+    def line(t: Column, i: Column) -> Column:
+        chance = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("conv_id").cast("string"), i.cast("string"))), 1, 4), 16, 10).cast("int")
+        mark = F.when(t["role"].isNull(), "").when((i > 0) & (chance < int(anonymous * 65536)), "Speaker: ").otherwise(F.concat(t["role"], F.lit(": ")))
+        return F.concat(mark, t["said"])
+
+    return conversations.where("conv_id IS NOT NULL").groupBy("conv_id").agg(turns_.alias("turns")).select("conv_id", F.array_join(F.transform("turns", line), "\n").alias("text"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all markers but the first of each conversation ``ANONYMOUS`` don't tell who speaks."""
     conversations = table(spark, sf_dir, "conversations")
-    return parse(transcripts_of(conversations), train(conversations))
+    return parse(transcripts_of(conversations, ANONYMOUS), train(conversations))
 
 
 #: The roles are known here, so that SQL can say what must be recovered.

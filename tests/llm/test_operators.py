@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -49,9 +50,43 @@ def test_slices_of_sliced_arrays():
 # -- 1 ------------------------------------------------------------------------------------------------------------
 
 
+def library():
+    """Another implementation, from another file of the same vocabulary."""
+    import base64
+
+    import tiktoken
+
+    with open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_hostile_texts_are_counted_and_encoded(spark):
+    """Ten million of one sign, and both operators agree."""
+    texts = [" " * 10_000_000, "\n" * 1_000_000 + "x", "a" * 10_000_000, "<a " * 1_000_000, "é" * 200_000, "ab " * 7, "ab " * 7]
+    df = docs_of(spark, texts)
+    got = bpe.encode(df, keep=["doc_id"], check=True).orderBy("doc_id").select("n_tokens", "round_trip").collect()
+    assert all(r.round_trip for r in got)
+    want = Counter(r.n_tokens for r in got)
+    assert {r.n_tokens: r.documents for r in token_counts.length_histogram(df).collect()} == want
+    encode = library().encode_ordinary
+    assert [r.n_tokens for r in got[4:]] == [len(encode(t)) for t in texts[4:]]
+
+
+def test_kept_pieces_change_nothing(spark, monkeypatch):
+    rng = random.Random(18)
+    texts = [prose(rng, 30) + " x" * rng.randint(0, 40) for _ in range(300)]
+    want = [r.tokens for r in bpe.encode(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    m = bpe.Merges(bpe.VOCABULARY)
+    monkeypatch.setattr(bpe, "PIECES", 50)
+    got = [x.tolist() for at in range(0, 300, 30) for n, t, first in bpe.encode_slice(m, texts[at : at + 30]) for x in np.split(t, first[1:-1])]
+    assert got == want and len(m.known) < 2000
+
+
 def test_token_counts(spark):
     texts = ["hello world", "hello world", "", None, "x " * 3000, "one two three four"]
-    lengths = [len(token_counts.encoder(token_counts.VOCABULARY).encode_ordinary(t)) for t in texts if t is not None]
+    encode = library().encode_ordinary
+    lengths = [len(encode(t)) for t in texts if t is not None]
     df = docs_of(spark, texts).withColumn("documents", F.lit("clash"))
     out = token_counts.length_table(token_counts.length_histogram(df)).orderBy("n_tokens").collect()
     assert [r.n_tokens for r in out] == sorted(set(lengths))
@@ -100,23 +135,80 @@ def test_html_extraction(spark):
     plain = {r.page_id: r for r in html_extract.extract(test, b"").collect()}
     assert plain[92].text == "loose end of a page"
     assert html_extract.extract(test.where("page_id > 100"), model).count() == 0
-
-
-def test_viterbi_is_the_best_path():
-    rng = np.random.default_rng(0)
-    rows = [[("a>b", (1,)), ("c", (2,)), ("a", (1,))]] * 3
-    f = html_extract.Field(rows, [np.array([1, 0, 1])] * 3, epochs=5)
-    for path, key in (("a>b", (1,)), ("c", (2,)), ("a", (1,))):
-        for name in html_extract._path_features(path) + html_extract._text_features(key):
-            f.weight[name] = rng.normal(size=2)
-    f.change = rng.normal(size=(2, 2))
-    e = f.emissions(rows[0])
-
-    def value(y):
-        return sum(e[i][y[i]] for i in range(3)) + sum(f.change[a, b] for a, b in zip(y, y[1:]))
-
-    best = max(((a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)), key=value)
-    assert tuple(f.decode([rows[0], []])[0]) == best
+    assert html_extract.extract(test.union(test.where("page_id = 92")), model).where("page_id = 92").distinct().count() == 1
+
+
+def blocks_of(rng, n):
+    """Blocks with features that come and go."""
+    out, holds = [], set()
+    for _ in range(n):
+        f = rng.choice("abcd")
+        new, old = ([], ["class=" + f]) if f in holds else (["class=" + f], [])
+        holds ^= {f}
+        out.append(("text", (rng.randint(0, 2),), new, old))
+    return out
+
+
+def emission(f, page, i):
+    holds = set()
+    for _, _, new, old in page[: i + 1]:
+        holds = (holds | set(new)) - set(old)
+    return sum((f.weight[x] for x in [*holds, *html_extract._trait_features(page[i][1])] if x in f.weight), np.zeros(2))
+
+
+@pytest.mark.parametrize("segment", [256, 3, 2])
+def test_viterbi_is_the_best_path(monkeypatch, segment):
+    monkeypatch.setattr(html_extract, "SEGMENT", segment)
+    rng, r = np.random.default_rng(0), random.Random(0)
+    pages = [blocks_of(r, n) for n in (7, 1, 0, 9, 3)]
+    f = html_extract.Field([p for p in pages if p], [np.arange(len(p)) % 2 for p in pages if p], epochs=2)
+    f.weight = {k: rng.normal(size=2) for k in f.weight}
+    f.change = rng.normal(size=(2, 2)) * 2
+    got = f.decode(pages)
+    for page, y in zip(pages, got):
+        e = [emission(f, page, i) for i in range(len(page))]
+        value = lambda y: sum(e[i][y[i]] for i in range(len(y))) + sum(f.change[a, b] for a, b in zip(y, y[1:]))
+        ways = [[w >> i & 1 for i in range(len(page))] for w in range(1 << len(page))]
+        assert list(y) == max(ways, key=value)
+
+
+def test_field_fits_the_likelihood(monkeypatch):
+    """The gradient vanishes where the likelihood, worked out from its definition, is greatest."""
+    r = random.Random(1)
+    pages = [blocks_of(r, n) for n in (4, 5, 3, 5)]
+    labels = [np.array([r.randint(0, 1) for _ in p]) for p in pages]
+    f = html_extract.Field(pages, labels, epochs=1500, rate=0.02, decay=0.1)
+
+    def objective():
+        total = 0.0
+        for page, y in zip(pages, labels):
+            e = [emission(f, page, i) for i in range(len(page))]
+            value = lambda y: sum(e[i][y[i]] for i in range(len(y))) + sum(f.change[a, b] for a, b in zip(y, y[1:]))
+            total += value(y) - math.log(sum(math.exp(value([w >> i & 1 for i in range(len(page))])) for w in range(1 << len(page))))
+        return total / len(pages) - 0.05 * (sum((w * w).sum() for w in f.weight.values()) + (f.change**2).sum())
+
+    best = objective()
+    for x in [*f.weight.values(), f.change]:
+        for k in np.ndindex(x.shape):
+            for d in (0.05, -0.05):
+                x[k] += d
+                assert objective() <= best + 1e-5
+                x[k] -= d
+
+
+def test_hostile_pages(spark):
+    """Broken, deep and very long pages take seconds; all words of a class count."""
+    pages = ["<a " * 3_000_000, "<p title='" * 500_000, "<div class=x>" * 500_000 + "end", "<p>a " * 400_000, "<div><li>a" * 200_000, "</b></p>" * 500_000 + "x", "a" * 5_000_000, "<!--" * 500_000, "<script>" * 500_000, '<a "' * 500_000 + '">" x', "<p>one</p>" + "<" * 1_000_000]
+    model = html_extract.pickle.dumps(html_extract.Field([html_extract.leaf_blocks("<p>a</p><div class='b'>c</div>")], [np.array([1, 0])], epochs=3))
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").repartition(4)
+    began = time.perf_counter()
+    got = {r.page_id: r.n_blocks for r in html_extract.extract(df, model, keep=("page_id",)).collect()}
+    assert time.perf_counter() - began < 150
+    assert got == {0: 1, 1: 1, 2: 1, 3: 400_000, 4: 200_000, 5: 1, 6: 1, 7: 0, 8: 0, 9: 1, 10: 2}
+    block = html_extract.leaf_blocks("<div class='m-1 p-2 w-3 h-4 sidebar'><p>text</p></div>")[0]
+    assert "class=sidebar" in block[2]
+    rows = html_extract.leaf_blocks("<ul><li>a<div>b<li>c<ul><li>d</ul><li>e</ul>f")
+    assert [(b[0], b[1][-2:]) for b in rows] == [("a", (2, "li")), ("b", (3, "div")), ("c", (2, "li")), ("d", (4, "li")), ("e", (2, "li")), ("f", (0, ""))]
 
 
 def test_marginals_sum_to_one():
@@ -145,13 +237,19 @@ def test_chat_roles_are_recovered(spark):
     want = {r.conv_id: r.roles for r in held.groupBy("conv_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])).alias("roles")).collect()}
     got = {r.conv_id: r for r in chat_format.parse(chat_format.transcripts_of(held), model).collect()}
     assert {k: r.roles for k, r in got.items()} == want
+    got = {r.conv_id: r for r in chat_format.parse(chat_format.transcripts_of(held, 0.3), model).collect()}
+    assert {k: r.roles for k, r in got.items()} == want and not any("Speaker" in r.text for r in got.values())
+    # the first marker may be anonymous, too
+    some = held.withColumn("role", F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(10)) > 2, F.col("role")).otherwise("speaker"))
+    got = {r.conv_id: r.roles for r in chat_format.parse(chat_format.transcripts_of(some), model).collect()}
+    assert sum(got[k] == want[k] for k in want) / len(want) > 0.9
     lost = held.withColumn("role", F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) > 0, F.col("role")))
     got = {r.conv_id: r.roles for r in chat_format.parse(chat_format.transcripts_of(lost), model).collect()}
     assert sum(got[k] == want[k] for k in want) / len(want) > 0.6
 
 
 def test_chat_markers_and_odd_rows(spark):
-    for line, role in (("## Assistant: hi", 2), ("[human] hi", 1), ("Q: why", 1), ("**System:** be kind", 0), ("answer: 5", 2), ("Answering this", 3), ("a nice day", 3), ("User", 3)):
+    for line, role in (("## Assistant: hi", 2), ("[human] hi", 1), ("Q: why", 1), ("**System:** be kind", 0), ("answer: 5", 2), ("Answering this", 4), ("a nice day", 4), ("User", 4), ("Speaker: hi", 3), ("[unknown] hi", 3)):
         assert chat_format.marker(line)[0] == role, line
     model = chat_format.train(conversations(spark, 20, 1))
     t = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "Human: what?\n\nBot: this.\nAnd that.\n", 0), (4, "  \n ", 0)], "conv_id bigint, text string, n_turns int")
@@ -161,6 +259,9 @@ def test_chat_markers_and_odd_rows(spark):
     assert got[3].text == "<|user|>\nwhat?<|end|>\n<|assistant|>\nthis.\nAnd that.<|end|>\n"
     none = chat_format.train(conversations(spark, 1, 1).where("false"))
     assert chat_format.parse(t.where("conv_id = 3"), none).first().roles == "user,assistant"
+    assert chat_format.parse(spark.createDataFrame([(1, "hi\nSpeaker: yes\nSpeaker: no")], "conv_id int, text string"), none).first().roles == "user,assistant,user"
+    long = chat_format.parse(spark.createDataFrame([(1, "User: a\nBot: b\n" * 100_000)], "conv_id int, text string"), model).first()
+    assert long.n_turns == 200_000 and chat_format.parse(t.where("false"), model).count() == 0
     rows = spark.createDataFrame([(None, 0, "user", "x"), (1, 0, None, "hello"), (1, 1, "assistant", None), (1, 1, "assistant", None)], "conv_id bigint, turn bigint, role string, text string")
     assert [r.text for r in chat_format.transcripts_of(rows).collect()] == ["hello\nassistant: \nassistant: "]
 
@@ -169,29 +270,37 @@ def test_chat_markers_and_odd_rows(spark):
 
 
 def greedy(text, ref):
-    count = 0
-    for s in range(0, len(text), language_id.SEGMENT):
-        part, i = text[s : s + language_id.SEGMENT], 0
-        while i < len(part):
-            j = i + 1
-            while j <= len(part) and part[i:j] in ref:
-                j += 1
-            i = max(i + 1, j - 1)
-            count += 1
+    count = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in ref:
+            j += 1
+        i = max(i + 1, j - 1)
+        count += 1
     return count
 
 
-def test_cross_parsing_matches_brute_force():
+@pytest.mark.parametrize("segment", [1024, 16, 5])
+def test_cross_parsing_matches_brute_force(monkeypatch, segment):
+    """Over all of each text: phrases cross the borders of segments."""
+    monkeypatch.setattr(language_id, "SEGMENT", segment)
     rng = random.Random(3)
-    refs = [("x", prose(rng, 80).encode()), ("y", "".join(rng.choice("abcdé ") for _ in range(600)).encode())]
+    refs = [("x", prose(rng, 80).encode()), ("y", "".join(rng.choice("abcdé ") for _ in range(600)).encode()), ("z", b"aaa ab")]
     p = language_id.Parser(tuple(refs))
-    texts = [prose(rng, 300).encode(), b"", "ß1 23 \t!?".encode(), b"a" * 2500, refs[0][1]]
+    texts = [prose(rng, 300).encode(), b"", "ß1 23 \t!?".encode(), b"a" * 2500, refs[0][1], b"b" + refs[0][1][7:] * 3, b"aab" * 900]
     data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = p.phrases(data, offs)
     same = lambda b: language_id._CLASS[np.frombuffer(b, np.uint8)].tobytes()
     assert got.tolist() == [[greedy(same(t), same(r)) for _, r in refs] for t in texts]
 
 
+def test_labelled_text_is_whole_documents(spark):
+    texts = ["short one", "x" * 50, "y" * 200, "z" * 30, "", None]
+    df = docs_of(spark, texts, "a").unionByName(docs_of(spark, ["w" * 500], "b"))
+    (_, a), (_, b) = language_id.labelled_text(df, most_bytes=100)
+    assert b == b"w" * 500 and set(a.decode().split("\n")) <= set(texts[:4]) and 9 <= len(a) <= 103
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     other = [w[::-1] for w in WORDS]
@@ -207,6 +316,10 @@ def test_language_id(spark):
     tie = language_id.identify(df.limit(3), (("a", texts[0][1]), ("b", texts[0][1]))).collect()
     assert {r.language for r in tie} == {"a"}
     assert language_id.identify(df.where("false"), texts).count() == 0
+    clash = language_id.identify(df, texts, keep=("doc_id", "language"))
+    assert clash.columns == ["doc_id", "language", "bits", "margin"] and clash.where("language = 'b'").count() > 0
+    long = language_id.identify(docs_of(spark, ["a" * 3_000_000, rows[0][1] * 10_000]), texts).orderBy("doc_id").collect()
+    assert long[1].language == "a"
 
 
 # -- 5 and 10 -----------------------------------------------------------------------------------------------------
@@ -405,6 +518,10 @@ def test_questions_are_packed_without_loss():
     for x in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([0, 1 << 60], np.uint64), np.unique(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2))):
         got, rest = lm_score.unpack_codes(memoryview(lm_score.pack_codes(x) + b"rest"))
         assert got.tolist() == x.tolist() and bytes(rest) == b"rest"
+        n = rng.integers(1, 4, len(x)) ** 7
+        t = rng.integers(0, n + 1)
+        a, b, rest = lm_score.unpack_counts(memoryview(lm_score.pack_counts(n, t) + b"rest"))
+        assert a.tolist() == n.tolist() and b.tolist() == t.tolist() and bytes(rest) == b"rest"
 
 
 # -- 8 ------------------------------------------------------------------------------------------------------------
@@ -565,7 +682,10 @@ def brute_leaks(texts, items):
         x = evened(t or "")
         for k, item in items.items():
             y = evened(item)
-            hits = [e for s, end in decontaminate.windows(len(y)) if (e := least_edits(y[s:end], x)) <= decontaminate.budget(end - s)[0]]
+            if len(y) < decontaminate.LEAST:
+                hits = [0] if y and b" " + y + b" " in b" " + x + b" " else []
+            else:
+                hits = [e for s, end in decontaminate.windows(len(y)) if (e := least_edits(y[s:end], x)) <= decontaminate.budget(end - s)[0]]
             if hits:
                 found[i, k] = (len(hits), min(hits))
     return found
@@ -587,17 +707,22 @@ def edited(rng, text, edits):
 def test_decontamination(spark, pass_bytes):
     rng = random.Random(14)
     items = {k: prose(rng, rng.choice([6, 10, 14, 25])) for k in range(8)} | {8: "too short", 9: "the the the the the the the the the the the the"}
+    items |= {11: "of 20 bytes, exactly", 12: "ox", 13: "?!", 14: "of 20", 15: "ox"}
     texts = [prose(rng, 40) for _ in range(6)] + [None, "", "the " * 200]
     for k in range(8):
         for edits in (0, 3, 6, 9, 14):
             texts.append(prose(rng, rng.randint(0, 20)) + " " + edited(rng, items[k], edits).replace(" ", rng.choice([" ", ", ", "\n"])) + " " + prose(rng, rng.randint(0, 20)).upper())
+    texts += ["it is of 20 bytes (exactly)", "of 20 bytes, exact", "boxes", "an ox", "ox", "of 20 of 20", "too SHORT", "too shorts"]
     want = brute_leaks(texts, items)
+    assert {(i, k) for i, k in want if k in (8, 11, 12, 14, 15)} == {(len(texts) + i, k) for i, k in ((-8, 11), (-8, 14), (-7, 14), (-5, 12), (-5, 15), (-4, 12), (-4, 15), (-3, 14), (-2, 8))}
     bench = spark.createDataFrame([*items.items(), (None, texts[0]), (20, None)], "item_id bigint, text string")
     df = docs_of(spark, texts).withColumn("item_id", F.lit("clash"))
     out = decontaminate.find(df, bench, pass_bytes=pass_bytes).collect()
     assert {(r.doc_id, r.item_id): (r.windows, r.edits) for r in out} == want and len(want) > 20
     exact = [r for r in out if r.edits == 0 and r.windows == len(decontaminate.windows(len(evened(items[r.item_id]))))]
-    assert exact and all(evened(texts[r.doc_id][r.start : r.end]) == evened(items[r.item_id]) for r in exact if (r.doc_id - 9) % 5 == 0 and r.doc_id >= 9)
+    assert exact and all(evened(texts[r.doc_id][r.start : r.end]) == evened(items[r.item_id]) for r in exact if (r.doc_id - 9) % 5 == 0 and 9 <= r.doc_id < len(texts) - 8)
+    long = docs_of(spark, [prose(rng, 100_000) + " " + items[0], "a" * 3_000_000])
+    assert {r.doc_id for r in decontaminate.find(long, bench.where("item_id = 0")).collect()} == {0}
     left = {r.doc_id for r in decontaminate.clean(df, bench, pass_bytes=pass_bytes).collect()}
     assert left == set(range(len(texts))) - {i for i, _ in want}
     assert decontaminate.find(df, bench.where("false")).count() == 0 and decontaminate.find(df.where("false"), bench).count() == 0

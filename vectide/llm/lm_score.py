@@ -15,9 +15,9 @@ Every document is counted, whole, and what is gathered grows with the corpus: a
 ``SLICE`` bytes, and asks for the counts of each slice's distinct n-grams, by a hash that spreads them over all partitions. Where the
 questions about an n-gram meet, its counts are summed up, and each slice is answered in the order in which it asked. Slices are put together with
 their answers and score their documents. So an n-gram of a third of all tokens is one question a slice, no partition
-holds more than its share, no table is broadcast, and the texts are read once. Questions are packed: hashes as differences of 6 bytes, counts as bytes.
-
-Target ids are given to the tasks while there are at most ``TASK_IDS`` of them; beyond, documents are joined with them.
+holds more than its share, and no table is broadcast. Questions are packed: hashes of 56 bits as differences of 5 bytes (of 1e9 different
+n-grams some seven share theirs), counts as bits where they are 1. Slices aren't sent along with their questions; documents are
+read twice, and join the answers as ranks of their words.
 
 Defined results
     null or empty text   no tokens: null losses and score; so too for texts without words
@@ -28,27 +28,27 @@ Defined results
     empty table          no rows
     other columns        aren't read
 
-Documents must come in the same order when a task is run again, as they do from files.
+Documents are read twice in the same order, as files are; those that aren't read from files are written first.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import buffers, mix, slices, small_batches, span_hashes, words
-from ._storage import plain, table
+from ._arrow import buffers, mix, release, slices, small_batches, span_hashes, words
+from ._storage import plain, table, written
 
 ORDER, DIGITS = 3, 6
 PRIOR, WORDS = 4.0, 1 << 20
 #: Bytes of text whose n-grams are asked for together.
-SLICE = 4 << 20
+SLICE = 8 << 20
 TASK_IDS = 1 << 20
 #: Parts that each partition of questions is cut into; one is held at a time.
 PARTS = 4
@@ -90,34 +90,41 @@ def predicted(begin: np.ndarray) -> np.ndarray:
 
 
 class Questions:
-    """A slice's distinct n-grams, sorted by hash, and which of them each predicted token needs."""
+    """A slice's distinct n-grams of each order, sorted by hash, and which of them each predicted token needs."""
 
     def __init__(self, tokens: np.ndarray, begin: np.ndarray):
-        one, two, three = grams(tokens)
+        grams_ = grams(tokens)
         at = self.at = predicted(begin)
-        pair = np.ones(len(tokens), bool)  # all 2-grams are counted, that of the borders too: they are contexts
-        pair[begin[:-1][np.diff(begin) > 0]] = False
-        flat = np.concatenate([one[at], three[at], two[pair], np.repeat(_TOTAL, min(1, len(at)))])
-        self.code, self.to = np.unique(flat, return_inverse=True)
-        self.pair = np.flatnonzero(pair)
-        # 1-, 2- and 3-gram of each predicted token, and the contexts of the last two
-        m = len(at)
-        seen = np.zeros(len(tokens) + 1, np.int64)
-        seen[self.pair] = self.to[2 * m : 2 * m + len(self.pair)]
-        single = np.zeros(len(tokens) + 1, np.int64)
-        single[at] = self.to[:m]
-        start = begin[:-1][np.diff(begin) > 0]
-        single[start + 1] = single[begin[1:][np.diff(begin) > 0] - 1]  # the border before a text is as frequent as the one after it
-        self.of = [self.to[:m], seen[at], self.to[m : 2 * m], single[at - 1], seen[at - 1]]
-        self.total = int(self.to[-1]) if m else 0
-
-    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(background, target) counts of each n-gram; ``target`` tells of each token whether its text is one."""
-        own = np.concatenate([target[self.at], target[self.at], target[self.pair], np.zeros(min(1, len(self.at)), bool)])
-        n, t = np.bincount(self.to, minlength=len(self.code)), np.bincount(self.to[own], minlength=len(self.code))
+        start, end = begin[:-1][np.diff(begin) > 0], begin[1:][np.diff(begin) > 0]
+        pair = np.ones(len(tokens), bool)
+        pair[start] = False
+        self.pair = np.flatnonzero(pair)  # all 2-grams are counted, that of the borders too: they are contexts
+        # the number of all tokens is counted as if it were a word
+        one, two, three = np.append(grams_[0][at], np.repeat(_TOTAL, min(1, len(at)))), grams_[1][self.pair], grams_[2][at]
+        del grams_
+        self.code, self.to = [], []
+        for x in (one, two, three):
+            x >>= np.uint64(8)
+            code, to = np.unique(x, return_inverse=True)
+            self.code.append(code)
+            self.to.append(to.astype(np.int32))
+        self.total = int(self.to[0][-1]) if len(at) else 0
+        single, double = np.zeros(len(tokens), np.int32), np.zeros(len(tokens), np.int32)
+        single[at], double[self.pair] = self.to[0][: len(at)], self.to[1]
+        single[start + 1] = single[end - 1]  # the border before a text is as frequent as the one after it
+        #: of each predicted token (order, place): its 1-, 2- and 3-gram, and the contexts of the last two
+        self.of = [(0, single[at]), (1, double[at]), (2, self.to[2]), (0, single[at - 1]), (1, double[at - 1])]
+
+    def counts(self, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(background, target) counts of each n-gram by order; ``target`` tells of each token whether its text is one."""
+        out = []
+        for code, to, at in zip(self.code, self.to, (self.at, self.pair, self.at)):
+            own = target[at]
+            to = to[: len(at)]
+            out.append((np.bincount(to, minlength=len(code)), np.bincount(to[own], minlength=len(code))))
         if len(self.at):
-            n[self.total], t[self.total] = len(self.at), target[self.at].sum()
-        return n, t
+            out[0][0][self.total], out[0][1][self.total] = len(self.at), target[self.at].sum()
+        return out
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -136,27 +143,58 @@ def unpack_numbers(blob: memoryview) -> tuple[np.ndarray, memoryview]:
     return out, blob[end:]
 
 
+def pack_counts(n: np.ndarray, t: np.ndarray) -> bytes:
+    """Two counts of each n-gram, the first at least 1, the second at most the first: bits where the first is 1."""
+    one = n == 1
+    return struct.pack("<q", len(n)) + np.packbits(one).tobytes() + np.packbits(t[one] > 0).tobytes() + pack_numbers(n[~one]) + pack_numbers(t[~one])
+
+
+def unpack_counts(blob: memoryview) -> tuple[np.ndarray, np.ndarray, memoryview]:
+    """(both counts, what comes after them)."""
+    k = struct.unpack("<q", blob[:8])[0]
+    at = 8 + -(-k // 8)
+    one = np.unpackbits(np.frombuffer(blob[8:at], np.uint8), count=k).astype(bool)
+    m = int(one.sum())
+    n, t = np.ones(k, np.int64), np.zeros(k, np.int64)
+    t[one] = np.unpackbits(np.frombuffer(blob[at : at + -(-m // 8)], np.uint8), count=m)
+    n[~one], rest = unpack_numbers(blob[at + -(-m // 8) :])
+    t[~one], rest = unpack_numbers(rest)
+    return n, t, rest
+
+
 def pack_codes(x: np.ndarray) -> bytes:
-    """Sorted distinct hashes as the differences between them, in 6 bytes where they fit."""
-    gap = np.diff(x, prepend=np.uint64(0))
-    wide = len(gap) > 1 and int(gap[1:].max()) >> 48 > 0
-    head = struct.pack("<q?Q", len(x), wide, int(x[0]) if len(x) else 0)
-    if wide:
-        return head + gap[1:].tobytes()
-    return head + gap[1:].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+    """Sorted distinct hashes as the differences between them, in 5 bytes where they fit."""
+    gap = np.diff(x, prepend=np.uint64(0))[1:]
+    width = 8 if len(gap) and int(gap.max()) >> 40 else 5
+    planes = _planes(gap, width)
+    last = squeezed(planes[(width - 1) * len(gap) :])
+    return struct.pack("<qqQq", len(x), width, int(x[0]) if len(x) else 0, len(last)) + planes[: (width - 1) * len(gap)] + last
 
 
 def unpack_codes(blob: memoryview) -> tuple[np.ndarray, memoryview]:
-    n, wide, first = struct.unpack("<q?Q", blob[:17])
+    n, width, first, last = struct.unpack("<qqQq", blob[:32])
+    at = 32 + max(0, n - 1) * (width - 1)
     gap = np.zeros(n, np.uint64)
-    end = 17 + max(0, n - 1) * (8 if wide else 6)
     if n:
-        gap[0] = first
-        if wide:
-            gap[1:] = np.frombuffer(blob[17:end], np.uint64)
-        else:
-            gap[1:].view(np.uint8).reshape(-1, 8)[:, :6] = np.frombuffer(blob[17:end], np.uint8).reshape(6, -1).T
-    return np.cumsum(gap, dtype=np.uint64), blob[end:]
+        gap[0], gap[1:] = first, _from_planes(bytes(blob[32:at]) + zlib.decompress(blob[at : at + last]), width)
+    return np.cumsum(gap, dtype=np.uint64), blob[at + last :]
+
+
+def squeezed(x: bytes) -> bytes:
+    """Frequent bytes in few bits; nothing else is looked for."""
+    z = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, 8, zlib.Z_HUFFMAN_ONLY)
+    return z.compress(x) + z.flush()
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of all numbers, then the next, and so on."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
 def losses(n: list[np.ndarray], total: np.ndarray | float) -> np.ndarray:
@@ -169,16 +207,16 @@ def losses(n: list[np.ndarray], total: np.ndarray | float) -> np.ndarray:
 
 def _parts(code: np.ndarray, parts: int) -> np.ndarray:
     """Where the n-grams of each part begin among sorted hashes; parts are ranges of hashes."""
-    edge = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    edge = np.array([(k << 56) // parts for k in range(1, parts)], np.uint64)
     return np.concatenate([[0], np.searchsorted(code, edge), [len(code)]])
 
 
-_ASKED = "to int, part int, origin bigint, kind int, blob binary"
+_ASKED = "to int, part int, origin bigint, blob binary"
 
 
 def _row(rows: list[tuple]) -> pa.RecordBatch:
-    to, part, origin, kind, blob = zip(*rows)
-    return pa.record_batch([pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array(origin, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["to", "part", "origin", "kind", "blob"])
+    to, part, origin, blob = zip(*rows)
+    return pa.record_batch([pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array(origin, pa.int64()), pa.array(blob, pa.binary())], ["to", "part", "origin", "blob"])
 
 
 def _home(origin: int, partitions: int) -> int:
@@ -186,155 +224,166 @@ def _home(origin: int, partitions: int) -> int:
     return int(mix(np.array([origin], np.uint64))[0] % np.uint64(partitions))
 
 
+def _cut(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number of the slice among those of all tasks, its rows) of (doc_id, text, target, task) rows."""
+    held: list[pa.RecordBatch] = []
+    size = number = 0
+
+    def taken() -> tuple[int, pa.RecordBatch]:
+        nonlocal size, number
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        size, number = 0, number + 1
+        return batch.column(3)[0].as_py() << 32 | number, batch
+
+    for batch in slices(batches, "text", slice_bytes // 4):
+        more = int(batch.column(1).nbytes)
+        if held and size + more > slice_bytes:
+            yield taken()
+        held.append(batch)
+        size += more
+    if held:
+        yield taken()
+
+
+def _some(rows: Iterator[tuple], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``most`` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size > most:
+            yield _row(held)
+            held, size = [], 0
+    if held:
+        yield _row(held)
+
+
 def _ask(parts: int, partitions: int, known: np.ndarray | None, slice_bytes: int):
-    """Questions of (doc_id, text, target) rows: a row a slice and part, and one with the slice itself, which no part needs."""
+    """Questions of each slice: a row a part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        held: list[pa.RecordBatch] = []
-        size = number = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held.clear()
-            origin = task << 32 | number
-            number += 1
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for origin, batch in _cut(batches, slice_bytes):
             data, offs = buffers(batch.column(1))
             start, end, first = words(data, offs)
-            word = span_hashes(data, start, end)
-            tokens, begin = sequences(word, first)
+            tokens, begin = sequences(span_hashes(data, start, end), first)
             q = Questions(tokens, begin)
             if known is None:
                 wanted = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             else:
                 wanted = np.isin(batch.column(0).fill_null(0).to_numpy(), known) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            n, t = q.counts(np.repeat(wanted, np.diff(begin)))
-            vocabulary, local = np.unique(word, return_inverse=True)
-            narrow = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
+            del data, start, end, tokens
+            counts = q.counts(np.repeat(wanted, np.diff(begin)))
+            edges = [_parts(code, parts) for code in q.code]
+            for k in np.flatnonzero(sum(map(np.diff, edges))).tolist():
+                own = [slice(e[k], e[k + 1]) for e in edges]
+                yield k % partitions, k, origin, b"".join(pack_codes(code[o]) + pack_counts(n[o], t[o]) for code, (n, t), o in zip(q.code, counts, own))
+
+    return lambda batches: _some(rows(batches))
+
+
+def _send(partitions: int, slice_bytes: int):
+    """The slices themselves: ids, and the words as ranks by frequency."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for origin, batch in _cut(batches, slice_bytes):
+            data, offs = buffers(batch.column(1))
+            start, end, first = words(data, offs)
+            vocabulary, local, count = np.unique(span_hashes(data, start, end), return_inverse=True, return_counts=True)
+            by = np.argsort(-count, kind="stable")
+            rank = np.zeros(len(by), np.uint64)
+            rank[by] = np.arange(len(by))
+            width = max(1, -(-len(by).bit_length() // 8))
             ids = pa.RecordBatch.from_arrays([batch.column(0)], ["doc_id"]).serialize().to_pybytes()
-            head = struct.pack("<qq?q", len(vocabulary), len(word), narrow is np.uint16, len(ids)) + ids + vocabulary.tobytes() + local.astype(narrow).tobytes() + pack_numbers(np.diff(first))
-            yield _row([(_home(origin, partitions), -1, origin, 0, head)])
-            edges = _parts(q.code, parts)
-            rows, heavy = [], 0
-            for k in range(parts):
-                own = slice(edges[k], edges[k + 1])
-                if edges[k] == edges[k + 1]:
-                    continue
-                blob = pack_codes(q.code[own]) + pack_numbers(n[own]) + pack_numbers(t[own])
-                rows.append((k % partitions, k, origin, 1, blob))
-                heavy += len(blob)
-                if heavy > 1 << 20:
-                    yield _row(rows)
-                    rows, heavy = [], 0
-            if rows:
-                yield _row(rows)
-
-        for batch in slices(batches, "text", slice_bytes):
-            held.append(batch)
-            size += int(batch.column(1).nbytes)
-            if size >= slice_bytes:
-                yield from flush()
-                size = 0
-        if held:
-            yield from flush()
+            head = struct.pack("<qqqq", len(by), len(local), width, len(ids))
+            yield _home(origin, partitions), -1, origin, head + ids + vocabulary[by].tobytes() + pack_numbers(np.diff(first)) + squeezed(_planes(rank[local], width))
 
-    return run
+    return lambda batches: _some(rows(batches))
 
 
 def _answer(partitions: int):
-    """Answers to questions that are sorted by part: the sums of all questions about an n-gram, in the order of each question. Slices pass through."""
+    """Answers to questions that are sorted by part: the sums of all questions about an n-gram, in the order of each question."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        part = -1
-
-        def flush() -> Iterator[pa.RecordBatch]:
+    def answers(held: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
+        rest = [memoryview(blob) for _, _, blob in held]
+        out: list[list[bytes]] = [[] for _ in held]
+        for _ in range(ORDER):
             code, n, t = [], [], []
-            for _, blob in held:
-                c, rest = unpack_codes(memoryview(blob))
-                a, rest = unpack_numbers(rest)
-                b, _ = unpack_numbers(rest)
+            for i, blob in enumerate(rest):
+                c, blob = unpack_codes(blob)
+                a, b, rest[i] = unpack_counts(blob)
                 code.append(c)
-                n.append(a.astype(np.float64))
-                t.append(b.astype(np.float64))
-            sizes = [len(c) for c in code]
+                n.append(a)
+                t.append(b)
+            edge = np.concatenate([[0], np.cumsum([len(c) for c in code])])
             _, to = np.unique(np.concatenate(code), return_inverse=True)
-            del code
+            code.clear()
             # sums of counts are exact as doubles up to 2 ** 53
-            n, t = (np.bincount(to, np.concatenate(x))[to].astype(np.int64) for x in (n, t))
-            rows, heavy, at = [], 0, 0
-            for (origin, _), size in zip(held, sizes):
-                blob = pack_numbers(n[at : at + size]) + pack_numbers(t[at : at + size])
-                at += size
-                rows.append((_home(origin, partitions), part, origin, 2, blob))
-                heavy += len(blob)
-                if heavy > 1 << 20:
-                    yield _row(rows)
-                    rows, heavy = [], 0
-            if rows:
-                yield _row(rows)
-            held.clear()
-
+            n, t = (np.bincount(to, np.concatenate(x).astype(np.float64))[to].astype(np.int64) if len(to) else to for x in (n, t))
+            for x, lo, hi in zip(out, edge[:-1], edge[1:]):
+                x.append(pack_counts(n[lo:hi], t[lo:hi]))
+        for (part, origin, _), x in zip(held, out):
+            yield _home(origin, partitions), part, origin, b"".join(x)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[tuple[int, int, bytes]] = []
         for batch in batches:
-            for i, (own, origin) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if own < 0:
-                    yield batch.slice(i, 1)
-                    continue
-                if own != part and held:
-                    yield from flush()
-                part = own
-                held.append((origin, batch.column(4)[i].as_py()))
+            for part, origin, blob in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if held and held[0][0] != part:
+                    yield from answers(held)
+                    held.clear()
+                held.append((part, origin, blob))
         if held:
-            yield from flush()
+            yield from answers(held)
 
-    return run
+    return lambda batches: _some(rows(batches))
 
 
 def _score(parts: int, kind: pa.DataType):
     """Results of slices: rows sorted by slice, the slice itself first and then its answers by part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        origin = None
-
-        def flush() -> pa.RecordBatch:
-            head = memoryview(held[0][1])
-            n_vocabulary, n_words, narrow, n_ids = struct.unpack("<qq?q", head[:25])
-            ids = pa.ipc.read_record_batch(pa.py_buffer(head[25 : 25 + n_ids]), pa.schema([("doc_id", kind)])).column(0)
-            at = 25 + n_ids
-            vocabulary = np.frombuffer(head[at : at + 8 * n_vocabulary], np.uint64)
-            at += 8 * n_vocabulary
-            wide = 2 if narrow else 4
-            local = np.frombuffer(head[at : at + wide * n_words], np.uint16 if narrow else np.uint32)
-            size, _ = unpack_numbers(head[at + wide * n_words :])
-            tokens, begin = sequences(vocabulary[local], np.concatenate([[0], np.cumsum(size)]))
-            q = Questions(tokens, begin)
-            answers = {part: blob for part, blob in held[1:]}
-            edges = _parts(q.code, parts)
-            n = np.zeros((2, len(q.code)))
-            for k, blob in answers.items():
-                own = slice(edges[k], edges[k + 1])
-                n[0, own], rest = unpack_numbers(memoryview(blob))
-                n[1, own], _ = unpack_numbers(rest)
-            held.clear()
-            live = np.diff(begin) > 0
-            count = np.where(live, np.diff(begin) - 2, 0)
-            sums = []
-            for model in n:
-                bits = np.concatenate([[0], np.cumsum(losses([model[x] for x in q.of], model[q.total] if len(q.at) else 0.0))])
-                edge = np.concatenate([[0], np.cumsum(count)])
-                sums.append(bits[edge[1:]] - bits[edge[:-1]])
-            return pa.record_batch([ids, pa.array(count), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "n_tokens", "background", "target"])
+    def scored(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        head = memoryview(held[0][2])
+        n_vocabulary, n_words, width, n_ids = struct.unpack("<qqqq", head[:32])
+        ids = pa.ipc.read_record_batch(pa.py_buffer(head[32 : 32 + n_ids]), pa.schema([("doc_id", kind)])).column(0)
+        at = 32 + n_ids
+        vocabulary = np.frombuffer(head[at : at + 8 * n_vocabulary], np.uint64)
+        at += 8 * n_vocabulary
+        size, rest = unpack_numbers(head[at:])
+        local = _from_planes(zlib.decompress(rest), width).view(np.int64)
+        tokens, begin = sequences(vocabulary[local], np.concatenate([[0], np.cumsum(size)]))
+        del local, rest
+        q = Questions(tokens, begin)
+        edges = [_parts(code, parts) for code in q.code]
+        n = [[np.zeros(len(code)) for code in q.code] for _ in range(2)]
+        answered = 0
+        for _, part, blob in held[1:]:
+            blob = memoryview(blob)
+            for k, e in enumerate(edges):
+                own = slice(e[part], e[part + 1])
+                n[0][k][own], n[1][k][own], blob = unpack_counts(blob)  # an answer of another length doesn't fit, and is an error
+                answered += own.stop - own.start
+        if held[0][1] >= 0 or answered != sum(map(len, q.code)):
+            raise RuntimeError("a slice and its answers don't agree: the documents came in another order when they were read again")
+        count = np.where(np.diff(begin) > 0, np.diff(begin) - 2, 0)
+        edge = np.concatenate([[0], np.cumsum(count)])
+        sums = []
+        for model in n:
+            bits = np.concatenate([[0], np.cumsum(losses([model[k][x] for k, x in q.of], model[0][q.total] if len(q.at) else 0.0))])
+            sums.append(bits[edge[1:]] - bits[edge[:-1]])
+        return pa.record_batch([ids, pa.array(count), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "n_tokens", "background", "target"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
         for batch in batches:
-            for i, (own, part) in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())):
-                if own != origin and held:
-                    yield flush()
-                origin = own
-                held.append((part, batch.column(4)[i].as_py()))
+            for part, origin, blob in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if held and held[0][0] != origin:
+                    yield scored(held)
+                    held.clear()
+                held.append((origin, part, blob))
         if held:
-            yield flush()
+            yield scored(held)
+        release()
 
     return run
 
@@ -356,14 +405,18 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text: str = "t
     else:
         df = df.withColumn("target", F.lit(False))
 
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = written(df, "texts")
+    df = df.withColumn("task", F.spark_partition_id())
+
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = to_arrow_type(kind)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = PARTS * partitions
     asked = df.mapInArrow(_ask(parts, partitions, known, slice_bytes), _ASKED)
     answered = asked.repartitionById(partitions, F.col("to")).sortWithinPartitions("part", "origin").mapInArrow(_answer(partitions), _ASKED)
-    sums = answered.repartitionById(partitions, F.col("to")).sortWithinPartitions("origin", "part").mapInArrow(_score(parts, arrow), f"doc_id {kind.simpleString()}, n_tokens bigint, background bigint, target bigint")
+    both = answered.unionByName(df.mapInArrow(_send(partitions, slice_bytes), _ASKED))
+    sums = both.repartitionById(partitions, F.col("to")).sortWithinPartitions("origin", "part").mapInArrow(_score(parts, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens bigint, background bigint, target bigint")
     n = F.nullif(F.col("n_tokens"), F.lit(0)) * F.lit(1000.0)
     mean = {"target_bits": F.col("target") / n, "background_bits": F.col("background") / n, "score": (F.col("target") - F.col("background")) / n}
     return sums.select("doc_id", "n_tokens", *[(F.round(v, DIGITS) + 0.0).alias(k) for k, v in mean.items()])

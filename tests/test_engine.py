@@ -164,6 +164,13 @@ def test_registry(spark):
         registry.make_operator("sink", "local", spark=spark, path="/tmp/x", operation="drop")
     with pytest.raises(ValueError):
         registry.make_operator("vectorizer", "image")
+    for name in ("cohere", "voyage", "sbert", "imagebind", "text"):
+        with pytest.raises(ValueError, match="provider"):
+            registry.make_operator("vectorizer", name)
+    assert not registry.make_operator("vectorizer", "hashed", runner="lazy", task_params={"dimension": 8}).evaluated
+    assert registry.make_operator("vectorizer", "hashed", runner=lambda make, **kw: kw, task_params={"dimension": 8}) == {"dimension": 8}
+    with pytest.raises(ValueError, match="runner"):
+        registry.make_operator("vectorizer", "hashed", runner="elsewhere")
 
 
 def test_vectorize_protocol(spark):
@@ -200,7 +207,9 @@ def test_route_and_transcribe(spark):
 def test_collection(spark, tmp_path):
     c = sinks.Collection(spark, str(tmp_path / "c"))
     df = spark.createDataFrame([(1, [0.0, 1.0], "image"), (2, [1.0, 0.0], "text")], "id bigint, vector array<double>, type string")
-    assert {tuple(r) for r in c.insert(df).collect()} == {("image", 1), ("text", 1)}
+    done = c.insert(df).collect()
+    assert {(r.type, r.insert_count) for r in done} == {("image", 1), ("text", 1)} and len({r.insert for r in done}) == 1
+    assert sorted(r.id for r in c.ids(done[0].insert).collect()) == sorted(r.id for r in df.collect()) and c.read().columns == df.columns
     q = spark.createDataFrame([(7, [0.0, 1.0])], "query_id bigint, vector array<double>")
     assert [r.id for r in c.search(q, 1, filter="type like 'te%'").collect()] == [2]
     with pytest.raises(ValueError):
@@ -339,3 +348,63 @@ def test_more_leaves_find_more(spark):
     exact = {(r.query_id, r.id) for r in index._exact(q, 10, 6).collect()}
     found = [len({(r.query_id, r.id) for r in index._walked(q, 10, 6, n).collect()} & exact) / len(exact) for n in (1, 2, 4)]
     assert found[0] < found[1] < found[2] == 1
+
+
+def test_inserted_rows_are_found(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    index = ann.build(vec(spark, rows[:500]), n_trees=4, leaf=50).insert(vec(spark, rows[500:])).save(str(tmp_path / "grown"))
+    assert index.leaves.groupBy("tree").count().where("count != 600").count() == 0
+    near = index.search(vec(spark, rows[500:]).withColumnRenamed("id", "query_id"), 1).collect()
+    assert [(r.query_id, r.id) for r in sorted(near)] == [(i, i) for i in range(500, 600)]
+
+
+def test_planes_at_tasks_and_in_joins_agree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = vec(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 6)))])
+    q = df.withColumnRenamed("id", "query_id").limit(50)
+    a = ann.build(df, n_trees=2, leaf=20, spill=0.1)
+    walk = lambda x, leaves: {tuple(r) for r in x.traverse(q, leaves).select("query_id", "tree", "node").collect()}
+    rows = lambda x: {tuple(r) for r in x.leaves.select("tree", "node", "id").collect()}
+    want, leaves = (walk(a, 1), walk(a, 3)), rows(a)
+    assert len(want[0]) == 100 and len(want[1]) == 300
+    monkeypatch.setattr(ann, "NODE_BYTES", 0)
+    assert (walk(a, 1), walk(a, 3)) == want
+    other = rows(ann.build(df, n_trees=2, leaf=20, spill=0.1))
+    assert other == leaves and len({(t, i) for t, _, i in other}) == 1400
+
+
+def test_no_partition_takes_all_rows(spark):
+    """Neither planes nor predictions are made by sorting everything in one task."""
+    df = vec(spark, [(i, [float(i), 1.0]) for i in range(300)]).withColumnsRenamed({"vector": "v"})
+    at = df.withColumns({"tree": F.lit(0), "node": F.lit(0).cast("bigint")})
+    plan = ann._subtrees(at, 3, 100, 0.0, True, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_predict_with_few_and_many_centres(spark, monkeypatch):
+    df = vec(spark, [(1, [0.0, 0.1]), (2, [5.0, 5.0]), (3, [1.0, 1.0]), (None, [1.0, 1.0])])
+    centres = spark.createDataFrame([(7, [0.0, 0.0]), (8, [2.0, 2.0]), (9, [2.0, 2.0])], "cluster int, centre array<double>")
+    want = {(1, 7, 0.1), (2, 8, 4.242641), (3, 7, 1.414214)}
+    assert {tuple(r) for r in ann.predict(df, centres).collect()} == want
+    monkeypatch.setattr(S, "BLOCK_BYTES", 8)
+    assert {tuple(r) for r in ann.predict(df, centres).collect()} == want
+    assert ann.predict(df, centres.where("false")).count() == 0
+
+
+def test_vector_expressions_are_linear(spark):
+    """Four thousand dimensions take at most ten times what five hundred do: nothing is computed anew for every element."""
+    import time
+
+    def took(dim, what):
+        df = spark.range(100).select(F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (i + F.col("id")).cast("double")).alias("v"))
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            df.select(what(F.col("v")).alias("x")).select(F.sum(F.size("x"))).collect()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    for what in (V.normalize, V.hardmax, lambda v: V.masked_softmax(v, F.transform(v, lambda x: F.lit(1.0)))):
+        assert took(4000, what) < 10 * max(took(500, what), 0.1)

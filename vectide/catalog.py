@@ -323,11 +323,12 @@ def demux_branches(spark, d):
 
 
 @_query("""
-WITH a AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::DOUBLE) AS s FROM documents), p AS (SELECT doc_id, s, unnest(generate_series(0, len(s) * 5 // 8 - 1)) AS i FROM a)
-SELECT doc_id, count(*) AS n, round(sum(s[least(floor(i * 1.6)::BIGINT + 1, len(s))] + (s[least(floor(i * 1.6)::BIGINT + 2, len(s))] - s[least(floor(i * 1.6)::BIGINT + 1, len(s))]) * (i * 1.6::DOUBLE - floor(i * 1.6::DOUBLE))), 4) AS total FROM p GROUP BY doc_id""")
+WITH a AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::DOUBLE) AS s FROM documents), p AS (SELECT doc_id, s, unnest(generate_series(0, len(s) * 5 // 8 - 1)) AS i FROM a),
+t AS (SELECT doc_id, count(*) AS n, round(sum(s[least(floor(i * 1.6)::BIGINT + 1, len(s))] + (s[least(floor(i * 1.6)::BIGINT + 2, len(s))] - s[least(floor(i * 1.6)::BIGINT + 1, len(s))]) * (i * 1.6::DOUBLE - floor(i * 1.6::DOUBLE))), 4) AS total FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM documents LEFT JOIN t USING (doc_id)""")
 def resample_audio(spark, d):
     """From eight samples a second to five, by linear interpolation."""
-    r = _media(spark, d).select("doc_id", V.resample(F.col("samples"), 8, 5).alias("r")).where(F.size("r") > 0)
+    r = _media(spark, d).select("doc_id", V.resample(F.col("samples"), 8, 5).alias("r"))
     return r.select("doc_id", F.size("r").cast("bigint").alias("n"), F.round(V.total(F.col("r")), 4).alias("total"))
 
 
@@ -424,7 +425,7 @@ def workflow_insert_summary(spark, d):
     flow = Workflow().add(Runner(lambda: lambda df, **_: df), "read")
     flow.add(Runner(lambda: lambda df, **_: df.withColumn("vector", F.array(F.length("data").cast("double"), F.ascii("data").cast("double"))), lazy=True), "vectorize")
     flow.add(make_operator("sink", "local", spark=spark, path=path, vector_field="vector"), "insert")
-    return flow(_modalities(spark, d))
+    return flow(_modalities(spark, d)).drop("insert")
 
 
 @_query("""
@@ -440,7 +441,15 @@ def url_cache_name(spark, d):
     return table(spark, d, "pages").select("page_id", "url", R.url_file_name(F.col("url")).alias("file_name"))
 
 
-@_query("SELECT kind, name FROM (VALUES " + ", ".join(f"('{k}', '{n}')" for k, n in registered()) + ") t(kind, name)")
+_REGISTERED = {
+    "sink": "local milvus mongodb parquet",
+    "source": "ingest local youtube",
+    "transform": "document-screenshot speech-to-text text-segments video-demux",
+    "vectorizer": "audio cohere graph hashed image imagebind molecule multimodal pytorch-image-models scikit-learn sentence-transformers text torchaudio voyageai",
+}
+
+
+@_query("SELECT kind, name FROM (VALUES " + ", ".join(f"('{k}', '{n}')" for k, names in _REGISTERED.items() for n in names.split()) + ") t(kind, name)")
 def operator_registry(spark, d):
     return spark.createDataFrame(registered(), "kind string, name string")
 
@@ -463,9 +472,8 @@ def source_ingest(spark, d):
     """Files copied into a landing folder."""
     path, landing = new_path(spark, "files"), new_path(spark, "landing")
     table(spark, d, "nation").select(F.col("n_name").alias("value"), "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").option("lineSep", "\u0000").text(path)
-    w = files.walk(spark, path, "*.txt").select(F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1).cast("int").alias("name"), (F.col("length") - 1).alias("bytes"))
-    w.write.parquet(landing)
-    return spark.read.parquet(landing)
+    w = files.ingest(spark, path, landing, "*.txt")
+    return w.select(F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1).cast("int").alias("name"), (F.col("bytes") - 1).alias("bytes"))
 
 
 @_query("SELECT p_name AS name, p_type AS smiles FROM part")
@@ -479,9 +487,8 @@ def source_csv(spark, d):
 def source_json_leaves(spark, d):
     path = new_path(spark, "json")
     members = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.col("n_nationkey").cast("bigint")).alias("ids"))
-    members.select(F.to_json(F.create_map(F.col("n_regionkey").cast("string"), "ids")).alias("value")).repartition("value").write.text(path)
-    spread = spark.read.text(path).select(F.explode(F.from_json("value", "map<string, array<bigint>>")).alias("node", "ids"))
-    return spread.select(F.col("node").cast("int").alias("node"), F.explode("ids").alias("id"))
+    members.select(F.to_json(F.create_map(F.col("n_regionkey").cast("string"), "ids")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.leaves(spark, path)
 
 
 @_query("SELECT label, count(*) AS n FROM embeddings WHERE label >= 5 GROUP BY 1")
@@ -523,7 +530,7 @@ def pandas_provider(spark, d):
     return df.select("doc_id", "type", F.col("vector")[0].alias("v"))
 
 
-@_query()
+@_query("SELECT doc_id, 0.0::DOUBLE AS difference FROM documents")
 def provider_equivalence(spark, d):
     """The hashed embedding by Arrow batches and as an expression: their greatest difference a document."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -536,11 +543,15 @@ WITH g AS (SELECT p_partkey, unnest(list_transform(generate_series(1, length(p_t
 SELECT p_partkey, count(DISTINCT g) AS shingles FROM g GROUP BY 1""")
 def molecule_shingles(spark, d):
     """What a fingerprint's bits stand for: the distinct shingles of a string."""
-    g = F.transform(F.sequence(F.lit(1), F.length("p_type") - 2), lambda i: F.substring("p_type", i, F.lit(3)))
-    return table(spark, d, "part").select("p_partkey", F.size(F.array_distinct(g)).cast("bigint").alias("shingles"))
+    return table(spark, d, "part").select("p_partkey", F.size(Z.shingles(F.col("p_type"))).cast("bigint").alias("shingles"))
 
 
-@_query()
+@_query("""
+WITH s AS (SELECT p_type, list_distinct(list_transform(generate_series(1, length(p_type) - 2), lambda i: ('0x' || substr(md5(substr(p_type, i, 3)), 1, 8))::BIGINT % 2048)) AS f FROM (SELECT DISTINCT p_type FROM part)),
+d AS (SELECT a.p_type AS qt, b.p_type AS bt, len(list_intersect(a.f, b.f)) AS shared, len(a.f) + len(b.f) AS sum FROM s a CROSS JOIN s b),
+r AS (SELECT q.p_partkey AS query_id, b.p_partkey AS id, round(1 - shared::DOUBLE / (sum - shared), 6) + 0.0 AS distance, b.p_type FROM part q JOIN d ON qt = q.p_type JOIN part b ON b.p_type = bt),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM r)
+SELECT query_id, id, distance, rank, p_type FROM n WHERE rank <= 10""")
 def molecule_fingerprint_search(spark, d):
     """Fingerprints of all parts, and for each part the nearest parts by Jaccard distance."""
     make = make_operator("vectorizer", "molecule", column="p_type")
@@ -550,11 +561,22 @@ def molecule_fingerprint_search(spark, d):
 # -- approximate search --------------------------------------------------------------------------------------------
 
 
-@_query()
+@_query("SELECT t::INT AS tree, count(*) AS rows, count(DISTINCT vec_id) AS ids, true AS split FROM embeddings, generate_series(0, 3) g(t) GROUP BY t")
 def ann_build(spark, d):
-    """Leaves of each tree, and how many rows they hold."""
+    """Rows that each tree's leaves hold, and whether there are several of fewer than 200 rows on the mean."""
     index = ann.build(_vectors(spark, d), n_trees=4)
-    return index.leaves.groupBy("tree", "node").agg(F.count("*").alias("rows"))
+    split = (F.countDistinct("node") > 1) & (F.count("*") / F.countDistinct("node") < 200)
+    return index.leaves.groupBy("tree").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), split.alias("split"))
+
+
+@_query("SELECT count(*) AS queries, 10 * count(*) AS neighbours, true AS enough FROM embeddings")
+def ann_recall(spark, d):
+    """Of all exact neighbours of all rows the index finds 90 % at least."""
+    df = _vectors(spark, d)
+    q = df.withColumnRenamed("id", "query_id")
+    found = ann.build(df, n_trees=8, spill=0.15).search(q).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = S.search(df, q, 10, "squared_l2").select("query_id", "id")
+    return exact.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @_query()
@@ -565,12 +587,15 @@ def ann_search(spark, d):
     return index.search(df.withColumnRenamed("id", "query_id"))
 
 
-@_query()
+@_query("SELECT label::VARCHAR AS label, k::INT AS cluster, CASE k WHEN 0 THEN n - n // 2 ELSE n // 2 END AS rows FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), generate_series(0, 1) t(k)")
 def gkmeans_fit(spark, d):
+    """Halves of each label's rows; SQL knows their sizes."""
     return ann.gkmeans(_vectors(spark, d), "label").select("label", "cluster", "rows")
 
 
-@_query()
+@_query(r"""
+WITH f AS (SELECT doc_id, length(text) AS a, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS b, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS c, length(regexp_replace(text, '[^0-9]', '', 'g')) AS e FROM documents)
+SELECT doc_id, [0.5 * a + b + 0.25 * e + 1, -1.0 * a + c + 2 * e - 1]::DOUBLE[] AS vector FROM f""")
 def onnx_provider(spark, d):
     """An ONNX model made here (a linear layer) over features of each text."""
     from vectide.operators.onnx_model import linear

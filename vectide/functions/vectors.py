@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(sq_norm(v))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row; within another lambda's body it would be computed for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalize(v: Column) -> Column:
     """Unit length; a zero vector has null elements."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.try_divide(x, n))
+    return bound(v, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(x, n))))
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -78,15 +84,13 @@ def hyperplane_distance(v: Column, w: Column, b: Column) -> Column:
 
 def hardmax(v: Column) -> Column:
     """One-hot of the (first) greatest element."""
-    at = F.array_position(v, F.array_max(v))
-    return F.transform(v, lambda _, i: (i + 1 == at).cast("int"))
+    return bound(v, lambda v: bound(F.array_position(v, F.array_max(v)), lambda at: F.transform(v, lambda _, i: (i + 1 == at).cast("int"))))
 
 
 def masked_softmax(v: Column, mask: Column) -> Column:
     """``e^x m / sum``; all null where nothing is unmasked."""
     e = F.zip_with(v, mask, lambda x, m: F.exp(x) * m)
-    s = total(e)
-    return F.transform(e, lambda x: F.try_divide(x, s))
+    return bound(e, lambda e: bound(total(e), lambda s: F.transform(e, lambda x: F.try_divide(x, s))))
 
 
 def resample(samples: Column, rate: int, to: int) -> Column:
@@ -104,8 +108,7 @@ def resample(samples: Column, rate: int, to: int) -> Column:
 
         return F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), at)).otherwise(F.array().cast("array<double>"))
 
-    # as a lambda's variable the samples are computed once, not for every element
-    return F.transform(F.array(samples), whole)[0]
+    return bound(samples, whole)
 
 
 def min_samples(dim: Column | int, error: float = 0.01, uncertainty: float = 0.05) -> Column:

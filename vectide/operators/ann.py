@@ -2,9 +2,9 @@
 
     vectors(id, v, sq_norm)   nodes(tree, node, w, b, cut_left, cut_right)   leaves(tree, node, id)
 
-Children of node i are 2i + 1 and 2i + 2. A level is split in all trees and leaves at once: a balanced
-2-means on a bounded sample of each leaf gives the planes, quantiles of the signed distances (summed up
-map-side) give the cuts, and no leaf's rows ever have to meet in one task.
+Children of node i are 2i + 1 and 2i + 2. Trees grow ``STEP`` levels at a time: a bounded sample of each leaf, chosen by a hash
+and never by sorting all rows, gives balanced 2-means planes and the quantiles that are their cuts, all of a subtree in one task. Then
+every row goes down the new levels in one pass: the planes are sent to the tasks while they have at most ``NODE_BYTES``, beyond that rows join them a level at a time.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from vectide.operators import search as S
 from vectide.storage import written
 
 LEAF = 200
-#: Rows of a leaf that its plane is fitted on.
-SAMPLE = 4096
+#: Rows of a leaf that its subtree is fitted on, or ``min_samples`` if that is more; levels of a subtree; bytes of planes that are sent to tasks.
+SAMPLE, STEP, NODE_BYTES = 4096, 6, 64 << 20
 #: What a search must find of the exact neighbours, the queries that this is measured on, and the part of the rows (1 / SHARE) up to which more leaves are walked.
 RECALL, CALIBRATE, SHARE = 0.9, 200, 4
 
@@ -86,9 +86,89 @@ def gkmeans(df: DataFrame, group: str, vector: str = "vector", id_col: str = "id
 
 
 def predict(df: DataFrame, centres: DataFrame, id_col: str = "id", vector: str = "vector", digits: int = 6) -> DataFrame:
-    """(id, cluster, distance): the nearest of (cluster, centre) rows; ties go to the lesser cluster."""
-    near = S.search(centres.select(F.col("cluster").alias("id"), F.col("centre").alias("vector")), df.select(F.col(id_col).alias("query_id"), F.col(vector).alias("vector")), 1, "l2", digits=digits)
-    return near.select(F.col("query_id").alias(id_col), F.col("id").alias("cluster"), "distance")
+    """(id, cluster, distance): the nearest of (cluster, centre) rows; ties go to the lesser cluster. Rows without an id or a vector aren't read.
+
+    The centres go to the tasks while they have at most ``S.BLOCK_BYTES``; more are searched as an index would be, with the rows as queries.
+    """
+    c = centres.select("cluster", V.doubles("centre").alias("centre")).where("cluster IS NOT NULL AND centre IS NOT NULL")
+    rows = df.select(F.col(id_col).alias("id"), V.doubles(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    if 8 * (c.agg(F.sum(F.size("centre") + 1)).first()[0] or 0) > S.BLOCK_BYTES:
+        near = S.search(c.select(F.col("cluster").alias("id"), F.col("centre").alias("vector")), rows.select(F.col("id").alias("query_id"), F.col("v").alias("vector")), 1, "l2", digits=digits)
+        return near.select(F.col("query_id").alias(id_col), F.col("id").alias("cluster"), "distance")
+    got = c.toArrow().combine_chunks().sort_by("cluster")
+    m = S.matrix(got.column("centre").combine_chunks()) if got.num_rows else np.zeros((0, 0))
+    names = got.column("cluster").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches if len(m) else ():
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                d = np.round(S.distances(S.matrix(batch.column(1)), m, "l2"), digits) + 0.0
+                best = d.argmin(1)
+                yield pa.record_batch([batch.column(0), names.take(pa.array(best)), pa.array(d[np.arange(len(best)), best])], [id_col, "cluster", "distance"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)['id']}, cluster {dict(c.dtypes)['cluster']}, distance double")
+
+
+class Planes:
+    """Planes of trees as arrays, where tasks can look them up."""
+
+    def __init__(self, nodes: DataFrame):
+        got = nodes.select("tree", "node", "w", "b", "cut_left", "cut_right").toArrow().combine_chunks()
+        key = got.column("tree").to_numpy().astype(np.int64) << 48 | got.column("node").to_numpy().astype(np.int64)
+        by = np.argsort(key)
+        self.key = key[by]
+        self.w = S.matrix(got.column("w").combine_chunks())[by] if got.num_rows else np.zeros((0, 0))
+        self.b, self.low, self.high = (got.column(k).to_numpy()[by] for k in ("b", "cut_left", "cut_right"))
+        self.norm = np.sqrt((self.w * self.w).sum(1))
+
+    @staticmethod
+    def fit(nodes: DataFrame) -> bool:
+        """Whether they may be sent to tasks."""
+        return 8 * (nodes.agg(F.sum(F.size("w") + 5)).first()[0] or 0) <= NODE_BYTES
+
+    def find(self, tree: np.ndarray | int, node: np.ndarray) -> np.ndarray:
+        """Place of each node, -1 for leaves."""
+        if not len(self.key):
+            return np.full(node.shape, -1)
+        key = np.asarray(tree).astype(np.int64) << 48 | node
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+    def down(self, v: np.ndarray, tree: np.ndarray, node: np.ndarray, spill: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of rows that start in a tree's node; by the cuts, so that some go both ways."""
+        row, out = np.arange(len(v)), []
+        if not len(self.key):
+            return row, node
+        while len(row):
+            at = self.find(tree[row], node)
+            out.append((row[at < 0], node[at < 0]))
+            row, node, at = row[at >= 0], node[at >= 0], at[at >= 0]
+            d = np.einsum("ij,ij->i", v[row], self.w[at]) + self.b[at]
+            left, right = (d <= self.high[at] if spill else d < self.high[at]), d >= self.low[at]
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+        return np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out])
+
+    def walk(self, v: np.ndarray, tree: int, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): the leaves of each row behind the nearest planes; a leaf is as far as the farthest plane that is crossed to it."""
+        n = len(v)
+        node, far = np.zeros((n, 1), np.int64), np.zeros((n, 1))
+        while len(self.key):
+            at = self.find(tree, node)
+            live = (at >= 0) & np.isfinite(far)
+            if not live.any():
+                break
+            x, y = np.nonzero(live)
+            d = np.zeros(node.shape)
+            d[x, y] = np.einsum("ij,ij->i", v[x], self.w[at[x, y]]) + self.b[at[x, y]]
+            right = (d >= 0).astype(np.int64)
+            own = np.where(live, 2 * node + 1 + right, node)
+            across = np.where(live, np.maximum(far, np.abs(d) / np.maximum(self.norm[at], 1e-300)), np.inf)
+            node, far = np.concatenate([own, 2 * node + 2 - right], 1), np.concatenate([far, across], 1)
+            by = np.lexsort((node, far), axis=1)[:, :leaves]
+            node, far = np.take_along_axis(node, by, 1), np.take_along_axis(far, by, 1)
+        x, y = np.nonzero(np.isfinite(far))
+        return x, node[x, y]
 
 
 @dataclass
@@ -106,6 +186,13 @@ class Index:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         return load(self.vectors.sparkSession, path)
 
+    def insert(self, df: DataFrame, id_col: str = "id", vector: str = "vector", spill: float = 0.0) -> Index:
+        """The index with more rows, which go down the trees as they are; planes and cuts don't move. ``save`` it to keep it."""
+        rows = written(_vectors(df, id_col, vector), "vectors")
+        trees = self.leaves.select("tree").distinct()
+        leaves = _down(rows.select("id", "v").crossJoin(F.broadcast(trees)).withColumn("node", F.lit(0).cast("bigint")), self.nodes, spill > 0)
+        return Index(self.vectors.unionByName(rows), self.nodes, self.leaves.unionByName(written(leaves.select("tree", "node", "id"), "leaves")))
+
     def search(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", vector: str = "vector", digits: int = 6, recall: float = RECALL) -> DataFrame:
         """(query_id, id, distance, rank), squared distances of the candidates of all trees.
 
@@ -144,12 +231,29 @@ class Index:
         return S.rerank(candidates, self.vectors.withColumnRenamed("v", "vector"), q, k, metric="squared_l2", digits=digits)
 
     def traverse(self, q: DataFrame, leaves: int = 1) -> DataFrame:
-        """The ``leaves`` leaves of each query and tree that lie behind the nearest planes; a join a level.
+        """(query_id, tree, node): the ``leaves`` leaves of each query and tree that lie behind the nearest planes.
 
-        A leaf is as far as the farthest plane that has to be crossed to it; the leaf where the query itself lies is at 0.
+        A leaf is as far as the farthest plane that has to be crossed to it; the leaf where the query itself lies is at 0. Tasks walk the
+        trees while their planes may be sent there; beyond, queries join them a level at a time.
         """
+        if not Planes.fit(self.nodes):
+            return self._joined(q, leaves)
+        planes, trees = Planes(self.nodes), sorted(r.tree for r in self.leaves.select("tree").distinct().collect())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    v = S.matrix(batch.column(1))
+                    for tree in trees:
+                        row, node = planes.walk(v, tree, leaves)
+                        yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), tree, np.int32)), pa.array(node)], ["query_id", "tree", "node"])
+
+        return q.select("query_id", "vector").where("vector IS NOT NULL").mapInArrow(run, f"query_id {dict(q.dtypes)['query_id']}, tree int, node bigint")
+
+    def _joined(self, q: DataFrame, leaves: int = 1) -> DataFrame:
         depth = self.nodes.agg(F.max(F.floor(F.log2(F.col("node") + 1)))).first()[0]
-        at = q.crossJoin(F.broadcast(self.leaves.select("tree").distinct())).withColumns({"node": F.lit(0), "far": F.lit(0.0)})
+        at = q.crossJoin(F.broadcast(self.leaves.select("tree").distinct())).withColumns({"node": F.lit(0).cast("bigint"), "far": F.lit(0.0)})
         by = Window.partitionBy("query_id", "tree").orderBy("far", "node")
         for _ in range(0 if depth is None else int(depth) + 1):
             at = at.join(self.nodes.select("tree", "node", "w", "b"), ["tree", "node"], "left").withColumn("d", V.hyperplane_distance(F.col("vector"), F.col("w"), F.col("b")))
@@ -171,8 +275,20 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("vectors", "nodes", "leaves")))
 
 
+def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), V.doubles(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("sq_norm", V.sq_norm(F.col("v")))
+
+
+def levels(rows: int, leaf: int, spill: float) -> int:
+    """How often to split until leaves hold fewer than ``leaf`` rows on the mean, once at least where there are two rows."""
+    n, depth = float(rows), 0
+    while rows > 1 and (depth == 0 or n >= leaf) and depth < 40:
+        n, depth = n * (0.5 + spill), depth + 1
+    return depth
+
+
 def build(df: DataFrame, n_trees: int = 4, spill: float = 0.0, leaf: int = LEAF, seed: int = 0, shift: bool = True, id_col: str = "id", vector: str = "vector", sample: int = SAMPLE) -> Index:
-    """Split until leaves hold fewer than ``leaf`` rows on the mean, once at least.
+    """Split until leaves hold fewer than ``leaf`` rows on the mean, once at least; leaves of equal vectors stay whole.
 
     ``spill`` (0 to below 0.5) is the share of a leaf, on each side of the middle, that goes to both
     children. ``shift`` moves planes to the middle of the split, so that walks and splits agree.
@@ -182,39 +298,81 @@ def build(df: DataFrame, n_trees: int = 4, spill: float = 0.0, leaf: int = LEAF,
     if n_trees < 1:
         raise ValueError("there must be a tree at least")
     spark = df.sparkSession
-    base = written(df.select(F.col(id_col).alias("id"), V.doubles(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("sq_norm", V.sq_norm(F.col("v"))), "vectors")
+    base = written(_vectors(df, id_col, vector), "vectors")
     trees = spark.range(n_trees).select(F.col("id").cast("int").alias("tree"))
-    at = base.select("id", "v").crossJoin(F.broadcast(trees)).withColumn("node", F.lit(0))
-    nodes = None
-    while True:
-        sizes = at.groupBy("tree", "node").agg(F.count("*").alias("n"))
-        mean, most = sizes.agg(F.avg("n"), F.max("n")).first()
-        if mean is None or most < 2 or (nodes is not None and mean < leaf):
-            break
-        planes = _planes(at, sample, seed)
-        # a plane a leaf: the table is broadcast, or joined, as its size has it
-        d = at.join(planes, ["tree", "node"]).withColumn("d", V.hyperplane_distance(F.col("v"), F.col("w"), F.col("b")))
-        cut = d.groupBy("tree", "node").agg(F.percentile_approx("d", [0.5 - spill, 0.5 + spill], 100_000).alias("q"))
-        level = planes.join(cut, ["tree", "node"]).select("tree", "node", "w", (F.col("b") - (F.col("q")[0] + F.col("q")[1]) / 2 if shift else F.col("b")).alias("b"), F.col("q")[0].alias("cut_left"), F.col("q")[1].alias("cut_right"))
-        level = written(level, "level")
-        nodes = level if nodes is None else nodes.unionByName(level)
-        sides = F.array_compact(F.array(F.when(F.col("d") < F.col("q")[1], 1).when(F.col("d") <= F.col("q")[1], F.when(F.lit(spill) > 0, 1)), F.when(F.col("d") >= F.col("q")[0], 2)))
-        at = written(d.join(cut, ["tree", "node"]).select("id", "v", "tree", F.explode(sides).alias("side"), "node").select("id", "v", "tree", (2 * F.col("node") + F.col("side")).cast("int").alias("node")), "split")
-        if sizes.count() == at.select("tree", "node").distinct().count():
-            break  # nothing but equal vectors is left
-    empty = spark.createDataFrame([], "tree int, node int, w array<double>, b double, cut_left double, cut_right double")
-    return Index(base, nodes if nodes is not None else empty, written(at.select("tree", "node", "id"), "leaves"))
-
-
-def _planes(at: DataFrame, sample: int, seed: int) -> DataFrame:
-    by = Window.partitionBy("tree", "node").orderBy(F.xxhash64("tree", "id"), "id")
-    rows = at.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= sample).drop("_r")
+    at = base.select("id", "v").crossJoin(F.broadcast(trees)).withColumn("node", F.lit(0).cast("bigint"))
+    rows, dim = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    sample = max(sample, min_samples(dim or 0))
+    nodes = spark.createDataFrame([], _NODES)
+    left = levels(rows, leaf, spill)
+    while left > 0:
+        fresh = written(_subtrees(at, min(STEP, left), sample, spill, shift, seed), "nodes")
+        left -= STEP
+        nodes = nodes.unionByName(fresh)
+        at = _down(at, fresh, spill > 0, min(STEP, left + STEP))
+        if left > 0:
+            at = written(at, "split")
+    return Index(base, nodes, written(at.select("tree", "node", "id"), "leaves"))
+
+
+_NODES = "tree int, node bigint, w array<double>, b double, cut_left double, cut_right double"
+
+
+def _subtrees(at: DataFrame, depth: int, sample: int, spill: float, shift: bool, seed: int) -> DataFrame:
+    """Planes of ``depth`` more levels below each leaf, fitted on about ``sample`` of its rows."""
+    sizes = at.groupBy("tree", "node").agg(F.count("*").alias("n"))
+    chance = F.pmod(F.xxhash64("tree", "id"), F.lit(1 << 30)) * F.col("n") < F.lit(float(sample) * (1 << 30))
+    rows = at.join(sizes, ["tree", "node"]).where(chance).select("tree", "node", "id", "v")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, node = (int(k) for k in key)
+        tree, top = (int(k) for k in key)
         x = np.stack(pdf.sort_values("id")["v"])
-        c, _ = balanced_two_means(x, seed + 1009 * tree + node)
-        w = c[1] - c[0]
-        return pd.DataFrame({"tree": [tree], "node": [node], "w": [w], "b": [float(-(c[1] + c[0]) @ w / 2)]})
-
-    return rows.groupBy("tree", "node").applyInPandas(fit, "tree int, node int, w array<double>, b double")
+        out, todo = [], [(top, np.arange(len(x)), 0)]
+        while todo:
+            node, own, deep = todo.pop()
+            if deep == depth or len(own) < 2:
+                continue
+            c, _ = balanced_two_means(x[own], seed + 1009 * tree + node)
+            w = c[1] - c[0]
+            b = float(-(c[1] + c[0]) @ w / 2)
+            d = x[own] @ w + b
+            # cuts lie between two rows
+            order, places = np.sort(d), [min(max(round(q * len(d)), 1), len(d) - 1) for q in (0.5 - spill, 0.5 + spill)]
+            low, high = ((order[k - 1] + order[k]) / 2 for k in places)
+            if shift:
+                middle = (low + high) / 2
+                b, d, low, high = b - middle, d - middle, low - middle, high - middle
+            left, right = (d <= high if spill else d < high), d >= low
+            if left.all() and right.all() or not left.any() or not right.any():
+                continue  # nothing but equal vectors
+            out.append((tree, node, w, b, low, high))
+            todo += [(2 * node + 1, own[left], deep + 1), (2 * node + 2, own[right], deep + 1)]
+        return pd.DataFrame(out, columns=["tree", "node", "w", "b", "cut_left", "cut_right"])
+
+    return rows.groupBy("tree", "node").applyInPandas(fit, _NODES)
+
+
+def _down(at: DataFrame, nodes: DataFrame, spill: bool, depth: int | None = None) -> DataFrame:
+    """(id, v, tree, node) rows in the leaves below the nodes they are in."""
+    if Planes.fit(nodes):
+        planes = Planes(nodes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(lo, 4096)
+                    row, node = planes.down(S.matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), spill)
+                    own = batch.take(pa.array(row))
+                    yield pa.record_batch([*own.columns[:3], pa.array(node)], ["id", "v", "tree", "node"])
+
+        rows = at.select("id", "v", "tree", "node")
+        return rows.mapInArrow(run, rows.schema)
+    if depth is None:
+        deepest = nodes.agg(F.max(F.floor(F.log2(F.col("node") + 1)))).first()[0]
+        depth = 0 if deepest is None else int(deepest) + 1
+    for _ in range(depth):
+        d = at.join(nodes, ["tree", "node"], "left").withColumn("d", V.hyperplane_distance(F.col("v"), F.col("w"), F.col("b")))
+        left, right = (F.col("d") <= F.col("cut_right") if spill else F.col("d") < F.col("cut_right")), F.col("d") >= F.col("cut_left")
+        to = F.array_compact(F.array(F.when(F.col("w").isNull(), F.col("node")), F.when(left, 2 * F.col("node") + 1), F.when(right, 2 * F.col("node") + 2)))
+        at = d.select("id", "v", "tree", F.explode(to).alias("node"))
+    return at

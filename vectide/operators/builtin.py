@@ -50,12 +50,12 @@ def _segments(id_col: str = "id", column: str = "text", width: int = 500):
 
 def _model(kind: str):
     def make(make=None, model=None, data: str = "data", normalize: bool = True):
-        """By a provider of the caller's or an ONNX model; for texts, without either, a hashed embedding."""
+        """By a provider of the caller's or an ONNX model; no name brings along a model of its own."""
         if make is None and model is not None:
             make = Z.onnx(model)
-        if make is None and kind != "text":
+        if make is None:
             raise ValueError(f"a vectorizer for {kind} needs a provider or a model")
-        return lambda df, **_: Z.vectorize(df, make or Z.hashed_embedding(), data, kind if kind != "multimodal" else None, normalize)
+        return lambda df, **_: Z.vectorize(df, make, data, kind if kind != "multimodal" else None, normalize)
 
     return make
 
@@ -65,6 +65,11 @@ for _kind, _names in {"text": ["text", "sentence-transformers", "cohere", "voyag
         register("vectorizer", _name)(_model(_kind))
 
 
+@register("vectorizer", "hashed")
+def _hashed(dimension: int = 64, data: str = "data", normalize: bool = True):
+    return lambda df, **_: Z.vectorize(df, Z.hashed_embedding(dimension), data, "text", normalize)
+
+
 @register("vectorizer", "scikit-learn")
 def _counts(id_col: str = "id", column: str = "text", weight: str = "count"):
     ways = {"count": text.count_vectorize, "tfidf": text.tfidf_vectorize, "hashing": text.hashing_vectorize}
@@ -74,7 +79,10 @@ def _counts(id_col: str = "id", column: str = "text", weight: str = "count"):
 
 
 @register("vectorizer", "molecule")
-def _molecule(column: str = "smiles", bits: int = 2048, n: int = 3):
+def _molecule(column: str = "smiles", bits: int = 2048, n: int = 3, make=None):
+    """By a provider of boolean fingerprints, or of the string's shingles."""
+    if make is not None:
+        return lambda df, **_: Z.vectorize(df, make, column, "molecule", False)
     return lambda df, **_: df.withColumn("vector", Z.fingerprint(F.col(column), bits, n))
 
 

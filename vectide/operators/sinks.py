@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from vectide.operators import search as S
 
 OPERATIONS = ("insert", "search")
+_INSERT = "_insert"
 
 
 class Collection:
@@ -23,7 +26,14 @@ class Collection:
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self._rows().drop(_INSERT)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(self.path)
+
+    def ids(self, insert: str) -> DataFrame:
+        """The ids of what one ``insert`` has written."""
+        return self._rows().where(F.col(_INSERT) == insert).select(self.id_field)
 
     def fields(self) -> dict[str, str]:
         """Kinds of vector fields by name: dense, binary or sparse."""
@@ -47,14 +57,17 @@ class Collection:
         return dense[0]
 
     def insert(self, df: DataFrame) -> DataFrame:
-        """Append rows; a vector of another length than the table's is an error when it is written. Returns (type, insert_count)."""
+        """Append rows; a vector of another length than the table's is an error when it is written.
+
+        Returns (type, insert_count, insert) as it was written: nothing upstream is computed again. ``ids(insert)`` has the ids."""
         field = self._vector or next(f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType))
         if self.exists():
             first = self.read().select(F.size(field).alias("n")).first()
             if first is not None:
                 df = df.withColumn(field, F.when(F.coalesce(F.size(field), F.lit(first.n)) == first.n, F.col(field)).otherwise(F.raise_error(F.lit(f"a vector's length isn't {first.n}"))))
-        df.write.mode("append").parquet(self.path)
-        return insert_summary(df)
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/{_INSERT}={name}")
+        return insert_summary(self._rows().where(F.col(_INSERT) == name)).withColumn("insert", F.lit(name))
 
     def search(self, queries: DataFrame, limit: int = 10, metric: str = "l2", output_fields: tuple[str, ...] = (), filter: str | None = None, query_id: str = "query_id") -> DataFrame:
         field = self.vector_field

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from vectide.functions import vectors as V
 from vectide.functions.records import require
+from vectide.operators.text import bucket
 
 Provider = Callable[[list], np.ndarray]
 
@@ -85,21 +86,28 @@ def hashed_embedding(dimension: int = 64) -> Callable[[], Provider]:
 def hashed_embedding_column(text: Column, dimension: int = 64) -> Column:
     """The same embedding as an expression, without leaving the JVM."""
     codes = F.transform(F.filter(F.split(F.trim(F.lower(text)), r"\s+"), lambda w: w != ""), lambda w: F.crc32(w.cast("binary")))
-    return F.transform(
+    return V.bound(codes, lambda codes: F.transform(
         F.sequence(F.lit(0), F.lit(dimension - 1)),
         lambda d: F.aggregate(codes, F.lit(0.0), lambda s, h: s + F.when(h % dimension == d, F.when(F.shiftright(h, 16).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
+    ))
 
 
-def fingerprint(text: Column, bits: int = 64, n: int = 3) -> Column:
-    """A boolean fingerprint of a string: a bit is set for each of its shingles of ``n`` characters, by CRC."""
+def shingles(text: Column, n: int = 3) -> Column:
+    """The distinct shingles of ``n`` characters of a string; a shorter one is its own."""
     grams = F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array(text))
-    codes = F.array_distinct(F.transform(grams, lambda g: F.crc32(g.cast("binary")) % bits))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.array_contains(codes, b.cast("bigint")))
+    return F.array_distinct(grams)
+
+
+def fingerprint(text: Column, bits: int = 64, n: int = 3) -> Column:
+    """A boolean fingerprint of a string: a bit is set for each of its shingles of ``n`` characters, by MD5."""
+    codes = F.array_distinct(F.transform(shingles(text, n), lambda g: bucket(g, bits)))
+    return V.bound(codes, lambda codes: F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.array_contains(codes, b.cast("bigint"))))
 
 
 def onnx(model: bytes | str, output: str | None = None) -> Callable[[], Provider]:
-    """A provider that runs an ONNX model; inputs of several names are matched by what stands before a dot. One session a task."""
+    """A provider that runs an ONNX model; inputs of several names are matched by what stands before a dot. One session a task.
+
+    A model of several outputs gives all of them, by name, unless one is asked for."""
     require("onnxruntime")
 
     def make() -> Provider:
@@ -115,7 +123,8 @@ def onnx(model: bytes | str, output: str | None = None) -> Callable[[], Provider
                 feed = dict(zip(names, data))
             else:
                 feed = {names[0]: data}
-            return session.run([output] if output else None, feed)[0]
+            found = session.run([output] if output else None, feed)
+            return found[0] if output or len(found) == 1 else dict(zip([o.name for o in session.get_outputs()], found))
 
         return call
 

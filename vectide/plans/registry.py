@@ -27,8 +27,11 @@ def register(kind: str, name: str) -> Callable:
     return own
 
 
-def make_operator(kind: str, name: str, lazy: bool = False, **params: object):
-    """The operator, made at once or when it is first called; an unknown one is an error right here."""
+def make_operator(kind: str, name: str, lazy: bool = False, runner: str | Callable | None = None, task_params: dict | None = None, **params: object):
+    """The operator, made at once or when it is first called; an unknown one is an error right here.
+
+    ``runner`` is "local" (at once), "lazy", or a class of the caller's that is given the maker and its parameters; ``task_params`` are parameters, too.
+    """
     import vectide.operators.builtin  # noqa: F401  registers what the engine brings along
     from vectide.plans.workflow import Runner
 
@@ -37,7 +40,12 @@ def make_operator(kind: str, name: str, lazy: bool = False, **params: object):
     fn = _made.get((kind.rstrip("s"), canonical(name)))
     if fn is None:
         raise ValueError(f"no {kind} is named {name!r}; there are {', '.join(sorted(n for k, n in _made if k == kind.rstrip('s')))}")
-    return Runner(partial(fn), lazy=lazy, **params)
+    params = {**(task_params or {}), **params}
+    if callable(runner):
+        return runner(partial(fn), **params)
+    if runner not in (None, "local", "lazy"):
+        raise ValueError(f"unknown runner {runner!r}; there are local, lazy")
+    return Runner(partial(fn), lazy=lazy or runner == "lazy", **params)
 
 
 def registered() -> list[tuple[str, str]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,11 +27,11 @@ def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
     return spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def ingest(spark: SparkSession, path: str, landing: str) -> DataFrame:
+def ingest(spark: SparkSession, path: str, landing: str, pattern: str | None = None) -> DataFrame:
     """Copy files into a landing folder, as rows of (name, content), that a stream may watch; returns what landed."""
-    files = walk(spark, path).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), "content")
+    files = walk(spark, path, pattern).select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), "content")
     files.write.mode("append").parquet(landing)
-    return spark.read.parquet(landing).select("name", "bytes")
+    return spark.read.parquet(landing).select("path", "name", "bytes")
 
 
 def urls(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -57,7 +56,7 @@ def molecules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def leaves(spark: SparkSession, path: str) -> DataFrame:
-    """(node, id) of JSON lines ``{"node": [ids]}``, a row for each member."""
+    """(node, id) of files of one JSON object ``{"node": [ids]}`` each, a row for each member."""
     text = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", "map<string, array<bigint>>")
     return text.select(F.explode(parsed).alias("node", "ids")).select(F.col("node").cast("int").alias("node"), F.explode("ids").alias("id"))
@@ -77,11 +76,7 @@ def media_kind(path: Column) -> Column:
 
 def image_bytes(data: Column) -> Column:
     """Bytes of an image given as a base64 text, with or without a data address before it; null where it is neither."""
-    return F.expr(f"try_to_binary(regexp_replace({_name(data)}, '^data:[^,]*,', ''), 'base64')")
-
-
-def _name(column: Column) -> str:
-    return re.sub(r"^Column<'(.*)'>$", r"\1", str(column))
+    return F.try_to_binary(F.regexp_replace(data, "^data:[^,]*,", ""), F.lit("base64"))
 
 
 def npy(files: DataFrame) -> DataFrame:

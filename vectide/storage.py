@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a new folder, which is then set."""
     to = spark.conf.get("spark.checkpoint.dir", None)
     if not to:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         to = tempfile.mkdtemp(prefix="vectide-")
         spark.conf.set("spark.checkpoint.dir", to)
     return to.rstrip("/")

@@ -612,6 +612,14 @@ def test_pairs_within_templates(spark, shared):
     assert got <= set(want) and len(got) >= 0.995 * len(want) > 60
 
 
+def test_common_ngrams_make_no_large_buckets(spark):
+    """Small texts with a phrase in common, otherwise strangers."""
+    rng = random.Random(18)
+    every = ngram_join.sketches(docs_of(spark, ["thank you for the visit " + prose(rng, 20) for _ in range(2000)]))
+    keys = every.select(*[c for c in ("signature", "keys", "rare", "small") if c in every.columns]).mapInArrow(ngram_join._keys, "key bigint, node bigint, small binary")
+    assert keys.groupBy("key").count().agg(F.max("count")).collect()[0][0] < 200
+
+
 def test_very_long_and_empty_inputs_join(spark):
     long = prose(random.Random(17), 200_000)
     df = docs_of(spark, [long, long + " tail", "b" * 3_000_000, None])

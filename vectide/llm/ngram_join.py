@@ -5,20 +5,19 @@ parity sketch: a bit is set where an odd number of n-grams fell, so the Hamming
 sketches never exceeds the symmetric difference of the sets. A Jaccard similarity of at least t bounds
 that difference by D = (1 - t) / (1 + t) x (|A| + |B|).
 
-Candidates come from a sketch of very many virtual bits, cut into B blocks: blocks whose bits agree
-are equal, and D differences leave blocks untouched (one at least if B > D, by the pigeonhole
-principle; B e^(-D/B) on the mean if there are fewer blocks than differences; ``blocks``
-chooses B so that several usable ones are left right at the threshold, which keeps recall above 0.99). Each
+Candidates of large sets come from a sketch of very many virtual bits, cut into B blocks: blocks whose bits agree
+are equal, and D differences leave B e^(-D/B) blocks untouched on the mean. ``blocks`` chooses B so that 44 blocks of enough n-grams
+are left right at the threshold; touched blocks exclude each other, so that none is left has a probability of e^-44 at most, that of
+two sets having one 64-bit name, on which everything here rests anyway. Each
 block is joined by a 64-bit XOR of its bits' hashes, with its number and size band as key. Bands are powers of 2
-of the set size; a set that is near enough to the band below also joins there. A block of few
-bits says little in large sets, where there are enough others: such blocks are left out
-by content, hence on both sides alike.
+of the set size; a set that is near enough to the band below also joins there. Small sets are joined by their prefixes, exactly: of n n-grams
+the n - t n + 1 rarest, one of which any similar pair shares. So common n-grams make no buckets that grow with the corpus.
 
 Documents of equal sets are one node, named by a hash of the set: a task sends a set's keys once, however many copies it reads,
 and a bucket takes what several tasks send as one. Within a bucket of small sets all pairs whose small sketches are within the bound are
 connected, by a spanning forest of them. Large sets are tied to the first of the bucket and the two before them, in an order that is
 another one in each bucket, and ties whose dense parity sketches are further apart than the bound are cut. So ties are linear in
-the bucket. What hangs together is a cluster, and all pairs of a cluster are counted exactly, from the n-grams themselves, where its members meet.
+the bucket; in one of more than four large sets they aren't all pairs, and a pair that no other bucket ties is lost. What hangs together is a cluster, and all pairs of a cluster are counted exactly, from the n-grams themselves, where its members meet.
 
 The result is linear in the documents: ``classes`` gives a row a document, with the class that similar pairs hold together, the least id
 of the same set, and the number of other sets it is similar to. ``jaccard_join`` gives the pairs themselves, between the least ids of sets.
@@ -41,6 +40,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +51,16 @@ from ._arrow import buffers, mix, shingles, slices, small_batches, span_hashes,
 from ._storage import plain, table, written
 
 NGRAM, THRESHOLD = 2, 0.6
-#: Mean number of usable agreeing blocks that a pair right at the threshold must have.
+#: Mean number of usable agreeing blocks that a pair right at the threshold must have: that none is left has a probability of e ** -44 at most,
+#: as two sets being given one 64-bit hash.
 AGREEING = 6.0
 #: Members of a cluster that are verified in one go; larger clusters are verified in pairs of such chunks.
 CHUNK = 1024
-#: Bits of the small sketch that goes with the keys of sets of fewer than ``SMALL_SETS`` n-grams, whose blocks alone say little. At that size
-#: it still sets sets at the bound apart from strangers, by more than four standard deviations.
+#: Sets of fewer than ``SMALL_SETS`` n-grams are joined by prefixes, with small sketches of so many bits. At that size
+#: a sketch still sets sets at the bound apart from strangers, by more than four standard deviations.
 SMALL, SMALL_SETS = 256, 160
-#: Bands of sets (of less than twice 2 ** this) whose n-grams have a block each.
-SMALL_BANDS = 4
+#: Cells of the table of how common n-grams are, as a power of 2, and the share of the small texts (a text in so many) that fills it.
+CELLS, SHARE = 20, 16
 #: Sets that a task remembers to have sent.
 SEEN = 1 << 20
 
@@ -71,39 +72,60 @@ def _at_least(k: int, mean: float) -> float:
 
 @cache
 def blocks(band: int, threshold: float) -> tuple[int, int]:
-    """(number of blocks, least number of bits of a block that is joined) for sets of ``2 ** band`` and more.
-
-    In small sets blocks are so many that each n-gram has its own, nearly always: the shared ones, of which there is one at least, agree.
-    """
-    if band <= SMALL_BANDS:
-        return 1024, 1
+    """(number of blocks, least number of n-grams of a block that is joined) for sets of ``2 ** band`` and more: the fewest keys that leave ``AGREEING`` blocks."""
     r = (1 - threshold) / (1 + threshold)
-    low, high = 1 << band, (2 << band) - 1
-    exact = int(r * 2 * high) + 1
-    sizes = (low, (low + high) // 2, high)
-    best = (0.0, exact, 1)
-    for least in (3, 2, 1):
+    low, high = max(1 << band, SMALL_SETS), (2 << band) - 1
+    sizes = (low, (low + high) // 2, high, int(high * (1 + 1 / threshold) / 2) + 1)  # means of a pair; the last one's larger set is of the band above
+    best = (math.inf, 0, 0)
+    for least in (1, 2, 3, 4):
         b = 1
-        while b <= 2 * exact + 1:
-            mean = min(b * math.exp(-2 * r * s / b) * _at_least(least, (1 - r) * s / b) for s in sizes)
-            if mean >= AGREEING:
-                return b, least
-            best = max(best, (mean, b, least))
+        while b <= 4 * low:  # more would hold few n-grams each, and say less
+            if min(b * math.exp(-2 * r * s / b) * _at_least(least, (1 - r) * s / b) for s in sizes) >= AGREEING:
+                best = min(best, (b * _at_least(least, sizes[1] / b), b, least))
             b += max(1, b // 24)
+    if not best[1]:
+        raise ValueError("no number of blocks is enough at this threshold")
     return best[1:]
 
 
+def prefix(sets: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest n-grams of a set, so many that similar sets have one of them in common: the least of those that they share.
+
+    Which n-grams count as rare is taken from a sample; that is only the order, and any order that is one for all sets loses no pair."""
+    n = len(sets)
+    most = n - math.ceil(threshold * n - 1e-9) + 1
+    return sets[np.lexsort((sets, common[(sets >> np.uint64(64 - CELLS)).astype(np.int64)]))[:most]]
+
+
+def _common(source: DataFrame, n: int) -> np.ndarray:
+    """How common the n-grams of each cell are in a sample of the small texts, in powers of 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offs = buffers(batch.column(0))
+            start, end, first = words(data, offs)
+            grams, _ = shingles(span_hashes(data, start, end), first, n)
+            cell, count = np.unique((grams >> np.uint64(64 - CELLS)).astype(np.int32), return_counts=True)
+            yield pa.record_batch([pa.array(cell), pa.array(count)], ["cell", "count"])
+
+    sample = source.where(f"pmod(xxhash64(id), {SHARE}) = 0 AND octet_length(text) < {SMALL_SETS * 16}").select("text")
+    got = sample.mapInArrow(run, "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
+    out = np.zeros(1 << CELLS, np.uint8)
+    out[got.column("cell").to_numpy()] = np.frexp(got.column("count").to_numpy().astype(float))[1]
+    return out
+
+
 def _dense_bits(size: int) -> int:
-    return max(64, 1 << int(np.ceil(np.log2(1.5 * max(1, size)))))
+    return max(512, 1 << int(np.ceil(np.log2(1.5 * max(1, size)))))
 
 
-def sketch(sets: np.ndarray, threshold: float) -> tuple[np.ndarray, bytes]:
-    """(block keys of a sorted set of n-gram hashes, its dense parity sketch)."""
+def sketch(sets: np.ndarray, threshold: float) -> np.ndarray:
+    """Block keys of a sorted set of n-gram hashes."""
     n = len(sets)
     band = n.bit_length() - 1
     keys = []
     for k in (band, band - 1):
-        if k < 0 or (k < band and threshold * n >= 1 << band):
+        if 2 << k <= SMALL_SETS or (k < band and threshold * n >= 1 << band):
             continue  # too large for any partner in the band below
         b, least = blocks(k, threshold)
         block = ((sets >> np.uint64(32)) * np.uint64(b)) >> np.uint64(32)
@@ -111,7 +133,7 @@ def sketch(sets: np.ndarray, threshold: float) -> tuple[np.ndarray, bytes]:
         value = np.bitwise_xor.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), begin)
         full = np.diff(np.append(begin, n)) >= least
         keys.append(mix(value[full] * np.uint64(3) + block[begin][full] * np.uint64(64) + np.uint64(k)))
-    return np.concatenate(keys), parity(sets, _dense_bits(n))
+    return np.concatenate(keys)
 
 
 def parity(sets: np.ndarray, m: int) -> bytes:
@@ -120,30 +142,35 @@ def parity(sets: np.ndarray, m: int) -> bytes:
 
 
 def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, size, signature of the set, block keys, small and dense sketch) of each document that has words."""
+    """(id, size, signature of the set, block keys, prefix keys, small and dense sketch) of each document that has words."""
+    source = _source(docs, text, doc_id)
+    common = _common(source, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
         for batch in slices(batches, "text"):
             data, offs = buffers(batch.column(1))
             start, end, first = words(data, offs)
             grams, begin = shingles(span_hashes(data, start, end), first, n)
             at = np.flatnonzero(np.diff(begin))
-            size, signature, keys, small, dense = [], [], [], [], []
+            size, signature, keys, rare, small, dense = [], [], [], [], [], []
             for i in at:
                 own = np.unique(grams[begin[i] : begin[i + 1]])
-                k, d = sketch(own, threshold)
                 size.append(len(own))
                 signature.append(_signature(own))
-                keys.append(k)
-                dense.append(d)
-                small.append(bytes([len(own)] * 8) + parity(own, SMALL) if len(own) < SMALL_SETS else None)
+                keys.append(sketch(own, threshold) if len(own) >= SMALL_SETS else none)
+                # larger sets meet small ones there
+                low = threshold * len(own) < SMALL_SETS
+                rare.append(prefix(own, common, threshold) if low else none)
+                small.append(np.uint64(len(own)).tobytes() + parity(own, SMALL) if low else None)
+                dense.append(parity(own, _dense_bits(len(own))))
 
             yield pa.record_batch(
-                [batch.column(0).take(pa.array(at)), pa.array(size, pa.int32()), pa.array(signature, pa.int64()), _lists(keys), pa.array(small, pa.binary()), pa.array(dense, pa.binary())],
-                ["id", "size", "signature", "keys", "small", "dense"],
+                [batch.column(0).take(pa.array(at)), pa.array(size, pa.int32()), pa.array(signature, pa.int64()), _lists(keys), _lists(rare), pa.array(small, pa.binary()), pa.array(dense, pa.binary())],
+                ["id", "size", "signature", "keys", "rare", "small", "dense"],
             )
 
-    return _source(docs, text, doc_id).mapInArrow(run, "id bigint, size int, signature bigint, keys array<bigint>, small binary, dense binary")
+    return source.mapInArrow(run, "id bigint, size int, signature bigint, keys array<bigint>, rare array<bigint>, small binary, dense binary")
 
 
 def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -181,7 +208,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatc
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, small sketch) of each block of (signature, keys, small sketch) rows; a set that the task has seen isn't sent again."""
+    """(key, node, small sketch) of each block and, with the sketch, each rare n-gram of (signature, keys, rare, small sketch) rows; a set that the task has seen isn't sent again."""
     seen: set[int] = set()
     for batch in batches:
         at = []
@@ -192,8 +219,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > SEEN:
             seen.clear()
         own = batch.take(pa.array(at, pa.int64()))
-        of = pa.array(np.repeat(np.arange(len(at)), own.column(1).value_lengths().to_numpy()))
-        yield pa.record_batch([own.column(1).flatten(), own.column(0).take(of), own.column(2).take(of)], ["key", "node", "small"])
+        for k in (1, 2):
+            of = pa.array(np.repeat(np.arange(len(at)), own.column(k).value_lengths().to_numpy()))
+            yield pa.record_batch([own.column(k).flatten(), own.column(0).take(of), own.column(3).take(of) if k == 2 else pa.nulls(len(of), pa.binary())], ["key", "node", "small"])
 
 
 def _bucket_ties(threshold: float):
@@ -203,16 +231,16 @@ def _bucket_ties(threshold: float):
         r = (1 - threshold) / (1 + threshold)
         for batch in _runs(batches, 0):
             key, ids = (batch.column(k).to_numpy() for k in range(2))
-            # an order of its own in each bucket: who isn't tied in one is in another
-            by = np.lexsort((ids, mix(ids.view(np.uint64) ^ mix(key.view(np.uint64))), key))
-            key, ids = key[by], ids[by]
             has = ~batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            # an order of its own in each bucket: who isn't tied in one is in another; a key of both kinds is two buckets
+            by = np.lexsort((ids, mix(ids.view(np.uint64) ^ mix(key.view(np.uint64))), has, key))
+            key, ids = key[by], ids[by]
             sk = np.zeros((len(key), SMALL // 64 + 1), np.uint64)
             sk[has] = buffers(batch.column(2))[0].view(np.uint64).reshape(-1, SMALL // 64 + 1)
             sk, has = sk[by], has[by]
-            fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+            fresh = np.append(True, (key[1:] != key[:-1]) | (has[1:] != has[:-1]) | (ids[1:] != ids[:-1]))
             key, ids, sk, has = key[fresh], ids[fresh], sk[fresh], has[fresh]
-            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (has[1:] != has[:-1])))
             many = np.diff(np.append(begin, len(key)))
             begin, many = begin[many > 1], many[many > 1]
             out: list[np.ndarray] = []
@@ -220,7 +248,7 @@ def _bucket_ties(threshold: float):
             for s in np.unique(many).tolist():
                 for at in np.array_split(begin[many == s], max(1, (many == s).sum() * s >> 18)):
                     rows = at[:, None] + np.arange(s)
-                    for x, y in _ties(ids, sk, has, rows, r):
+                    for x, y in chain(_loose(rows[~has[at]]), _near(sk, rows[has[at]], r)):
                         out.append(np.stack([ids[x], ids[y]]))
                         held += len(x)
                         if held > 1 << 20:
@@ -232,20 +260,23 @@ def _bucket_ties(threshold: float):
     return run
 
 
-def _ties(ids: np.ndarray, sk: np.ndarray, has: np.ndarray, rows: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ties of buckets of one size, a bucket's rows a row: pairs of row numbers."""
+def _loose(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ties of buckets of large sets, a bucket's rows a row: to the first and the two before."""
+    for k in (1, 2):
+        yield rows[:, :-k].ravel(), rows[:, k:].ravel()
+    yield np.repeat(rows[:, 0], max(0, rows.shape[1] - 3)), rows[:, 3:].ravel()
+
+
+def _near(sk: np.ndarray, rows: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ties of buckets of sets with small sketches: a spanning forest of all near pairs of small sets, and each near pair of a small and a larger one."""
     n, s = rows.shape
-    size = sk[:, 0].astype(np.uint8).astype(np.int64)
-    small = has[rows]
-    mixed = np.logical_or.accumulate(~small, 1)
+    size = sk[:, 0].astype(np.int64)
+    small = size[rows] < SMALL_SETS
+    mixed = ~small.all(1)
     part = np.tile(np.arange(s), (n, 1))  # what hangs together in each bucket
     for k in range(1, s):
         y = rows[:, k]
-        # where a sketch is missing the set is large, and its blocks say enough
-        loose = mixed[:, k]
-        for x in {0, k - 1, max(0, k - 2)} if loose.any() else ():
-            yield rows[loose, x], y[loose]
-        left = np.flatnonzero(small[:, k])
+        left = np.arange(n)
         step = max(1, 256 // n) if n else 1
         for lo in range(0, k, step):
             if not len(left):
@@ -257,7 +288,12 @@ def _ties(ids: np.ndarray, sk: np.ndarray, has: np.ndarray, rows: np.ndarray, r:
                 far += np.bitwise_count(sk[a, c] ^ sk[b, c])
             total = size[a] + size[b]
             least = np.minimum(size[a], size[b])
-            near = small[left, lo:hi] & (far <= r * total + 1e-9) & (least * (1 + r) >= (total - least) * (1 - r) - 1e-9)
+            near = (far <= r * total + 1e-9) & (least * (1 + r) >= (total - least) * (1 - r) - 1e-9)
+            one, other = small[left, lo:hi], small[left, k][:, None]
+            own, at = np.nonzero(near & (one != other))
+            if len(own):
+                yield rows[left[own], lo + at], y[left[own]]
+            near &= one & other
             while True:
                 fresh = near & (part[left, lo:hi] != part[left, k][:, None])
                 hit = np.flatnonzero(fresh.any(1))
@@ -266,7 +302,7 @@ def _ties(ids: np.ndarray, sk: np.ndarray, has: np.ndarray, rows: np.ndarray, r:
                 own, at = left[hit], lo + fresh[hit].argmax(1)
                 yield rows[own, at], y[own]
                 part[own] = np.where(part[own] == part[own, k][:, None], part[own, at][:, None], part[own])
-            left = left[(part[left, :k] != part[left, k][:, None]).any(1)]
+            left = left[(part[left, :k] != part[left, k][:, None]).any(1) | mixed[left]]
 
 
 def _distinct(out: list[np.ndarray]) -> pa.RecordBatch:
@@ -282,15 +318,19 @@ def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ties(every: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of sets, a < b, that share block keys and whose parity sketches are within the bound; enough of them to hold clusters together."""
-    keys = every.select("signature", "keys", "small").mapInArrow(_keys, "key bigint, node bigint, small binary")
-    pairs = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_ties(threshold), "a bigint, b bigint").distinct(), "ties")
+    """(a, b): pairs of sets, a < b, that share keys and whose parity sketches are within the bound; enough of them to hold clusters together."""
+    keys = every.select("signature", "keys", "rare", "small").mapInArrow(_keys, "key bigint, node bigint, small binary")
+    found = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_ties(threshold), "a bigint, b bigint").distinct(), "ties")
     # written, so that a join with it can be split where one set has many ties
     dense = written(every.select("signature", "size", "dense").dropDuplicates(["signature"]), "dense")
     left, right = (dense.select(F.col("signature").alias(k), F.col("size").alias(f"size_{k}"), F.col("dense").alias(f"dense_{k}")) for k in "ab")
-    # the same plan at every size, whatever a small input would allow
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "size_a", "size_b", "dense_a", "dense_b")
-    return both.mapInArrow(_bound(threshold), "a bigint, b bigint").distinct()
+
+    def bound(pairs: DataFrame) -> DataFrame:
+        # the same plan at every size, whatever a small input would allow
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "size_a", "size_b", "dense_a", "dense_b")
+        return both.mapInArrow(_bound(threshold), "a bigint, b bigint").distinct()
+
+    return bound(found)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -620,6 +620,19 @@ def test_common_ngrams_make_no_large_buckets(spark):
     assert keys.groupBy("key").count().agg(F.max("count")).collect()[0][0] < 200
 
 
+def test_blocks_leave_enough_at_the_threshold():
+    """Sets right at the threshold, in one band and over the border to the next."""
+    rng = np.random.default_rng(19)
+    for n, m in [(160, 160), (160, 266), (250, 260), (300, 500), (512, 512), (700, 1100), (1024, 1024), (3000, 3000)]:
+        common = math.ceil(0.6 * (n + m) / 1.6)
+        agree = []
+        for _ in range(5):
+            grams = rng.integers(0, 1 << 63, n + m - common).astype(np.uint64) * np.uint64(2)
+            keys = [ngram_join.sketch(np.sort(x), 0.6) for x in (grams[:n], grams[-m:])]
+            agree.append(len(np.intersect1d(*[k[0] if isinstance(k, tuple) else k for k in keys])))
+        assert min(agree) >= 15 and np.mean(agree) >= 35
+
+
 def test_very_long_and_empty_inputs_join(spark):
     long = prose(random.Random(17), 200_000)
     df = docs_of(spark, [long, long + " tail", "b" * 3_000_000, None])

@@ -53,7 +53,7 @@ from ._storage import plain, table, written
 NGRAM, THRESHOLD = 2, 0.6
 #: Mean number of usable agreeing blocks that a pair right at the threshold must have: that none is left has a probability of e ** -44 at most,
 #: as two sets being given one 64-bit hash.
-AGREEING = 6.0
+AGREEING = 44.0
 #: Members of a cluster that are verified in one go; larger clusters are verified in pairs of such chunks.
 CHUNK = 1024
 #: Sets of fewer than ``SMALL_SETS`` n-grams are joined by prefixes, with small sketches of so many bits. At that size

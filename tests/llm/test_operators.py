@@ -5,6 +5,7 @@ import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -620,6 +621,54 @@ def test_common_ngrams_make_no_large_buckets(spark):
     assert keys.groupBy("key").count().agg(F.max("count")).collect()[0][0] < 200
 
 
+def test_strangers_are_not_tied(spark):
+    """Long texts over few words have many n-grams in common; only near ones leave a bucket."""
+    rng = random.Random(20)
+    few = [prose(rng, 1) for _ in range(60)]
+    texts = [" ".join(rng.choice(few) if rng.random() < 0.6 else prose(rng, 1) for _ in range(400)) for _ in range(400)]
+    w = texts[7].split()
+    texts.append(" ".join(w[:380] + prose(rng, 20).split()))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.classes(docs_of(spark, texts)).collect()}
+    assert got[400] == (7, 1) and got[7] == (7, 1) and sum(n for _, n in got.values()) == 2
+    newest = max(Path(spark.conf.get("spark.checkpoint.dir")).glob("vectide/ties-*"), key=lambda x: x.stat().st_mtime)
+    assert spark.read.parquet(str(newest)).count() < 2000
+
+
+def test_forest_by_brute_force():
+    """What a bucket's near pairs hold together, the forest does, by the pairs that agree most."""
+    rng = np.random.default_rng(21)
+    word = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    for k in range(1, 30):
+        word[k] = word[k - 1]
+        for bit in rng.integers(0, 64, 9).tolist():
+            word[k] ^= np.uint64(1 << bit)
+    many = np.array([40, 33, 7])
+    rows = np.array([0, 3, 30])[:, None] + np.arange(40)
+    got = np.concatenate([np.stack(x) for x in ngram_join._forest(word, rows, many)], 1).T.tolist()
+    total = 0
+    for lo, size in zip((0, 3, 30), many):
+        part = list(range(lo, lo + size))
+        for d, a, b in sorted((int(np.bitwise_count(word[a] ^ word[b])), a, b) for a in part for b in part if a < b):
+            x, y = part[a - lo], part[b - lo]
+            if d <= 64 - ngram_join.LEAST and x != y:
+                part = [x if z == y else z for z in part]
+                total += d
+    assert sum(int(np.bitwise_count(word[a] ^ word[b])) for a, b in got) == total and total
+
+
+def test_prefixes_share_enough_keys():
+    """Sets right at the threshold whose differences are all rare, which is the worst case."""
+    rng = np.random.default_rng(22)
+    for n, m in [(160, 160), (200, 330), (512, 512), (3000, 3000)]:
+        shared = math.ceil(0.6 * (n + m) / 1.6)
+        grams = np.unique(rng.integers(0, 1 << 63, n + m - shared + 99).astype(np.uint64) * np.uint64(2))[: n + m - shared]
+        common = np.zeros(1 << ngram_join.CELLS, np.uint8)
+        common[(grams[n - shared : n] >> np.uint64(64 - ngram_join.CELLS)).astype(np.int64)] = 9
+        x, y = (ngram_join.sketch(np.sort(g), 0.6, common) for g in (grams[:n], grams[n - shared :]))
+        _, i, j = np.intersect1d(x[0], y[0], return_indices=True)
+        assert len(i) >= ngram_join.SHARED and np.any(np.bitwise_count(x[1][i] ^ y[1][j]) <= 64 - ngram_join.LEAST)
+
+
 def test_blocks_leave_enough_at_the_threshold():
     """Sets right at the threshold, in one band and over the border to the next."""
     rng = np.random.default_rng(19)

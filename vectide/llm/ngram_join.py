@@ -1,23 +1,22 @@
-"""N-gram Jaccard join by parity sketches.
+"""N-gram Jaccard join by prefixes of rare n-grams.
 
-A document is the set of its word n-grams. Hashing each n-gram to a bit and XOR-ing gives a
-parity sketch: a bit is set where an odd number of n-grams fell, so the Hamming distance of two
+A document is the set of its word n-grams. Sets are joined by their prefixes: of n n-grams the n - t n + k rarest, in one order for all sets, of which
+any pair of similarity t shares k. So common n-grams make no buckets that grow with the corpus. The order is taken from a sample; any order loses no pair.
+
+Hashing each n-gram to a bit and XOR-ing gives a parity sketch: a bit is set where an odd number of n-grams fell, so the Hamming distance of two
 sketches never exceeds the symmetric difference of the sets. A Jaccard similarity of at least t bounds
 that difference by D = (1 - t) / (1 + t) x (|A| + |B|).
 
-Candidates of large sets come from a sketch of very many virtual bits, cut into B blocks: blocks whose bits agree
-are equal, and D differences leave B e^(-D/B) blocks untouched on the mean. ``blocks`` chooses B so that 44 blocks of enough n-grams
-are left right at the threshold; touched blocks exclude each other, so that none is left has a probability of e^-44 at most, that of
-two sets having one 64-bit name, on which everything here rests anyway. Each
-block is joined by a 64-bit XOR of its bits' hashes, with its number and size band as key. Bands are powers of 2
-of the set size; a set that is near enough to the band below also joins there. Small sets are joined by their prefixes, exactly: of n n-grams
-the n - t n + 1 rarest, one of which any similar pair shares. So common n-grams make no buckets that grow with the corpus.
+Small sets share one key (k = 1), and take a parity sketch of 256 bits with each: all pairs of a bucket within the bound are connected, without loss.
+Large sets share ``SHARED`` keys, and take 64 bits of minima with each, which of 16 such words, the key says. Two sets agree in
+a bit where they have the least n-gram of a bin in common, or by chance: at the threshold in 4 of 5 bits, strangers in about half. All pairs of a bucket are compared, and those that agree in ``LEAST``
+bits are connected by a maximum spanning forest. A word of a pair at the threshold falls short with a probability of 2 % by calculation, and the shared
+keys name some ten different words; pairs that agree less than what leads from one to the other by way of strangers are left to their other buckets.
+Ties whose dense parity sketches are further apart than the bound are cut.
 
 Documents of equal sets are one node, named by a hash of the set: a task sends a set's keys once, however many copies it reads,
-and a bucket takes what several tasks send as one. Within a bucket of small sets all pairs whose small sketches are within the bound are
-connected, by a spanning forest of them. Large sets are tied to the first of the bucket and the two before them, in an order that is
-another one in each bucket, and ties whose dense parity sketches are further apart than the bound are cut. So ties are linear in
-the bucket; in one of more than four large sets they aren't all pairs, and a pair that no other bucket ties is lost. What hangs together is a cluster, and all pairs of a cluster are counted exactly, from the n-grams themselves, where its members meet.
+and a bucket takes what several tasks send as one. Keys move packed, many a row, by their first bits; only near pairs leave a bucket, so ties are linear in it.
+What hangs together is a cluster, and all pairs of a cluster are counted exactly, from the n-grams themselves, where its members meet.
 
 The result is linear in the documents: ``classes`` gives a row a document, with the class that similar pairs hold together, the least id
 of the same set, and the number of other sets it is similar to. ``jaccard_join`` gives the pairs themselves, between the least ids of sets.
@@ -39,8 +38,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,54 +48,34 @@ from ._arrow import buffers, mix, shingles, slices, small_batches, span_hashes,
 from ._storage import plain, table, written
 
 NGRAM, THRESHOLD = 2, 0.6
-#: Mean number of usable agreeing blocks that a pair right at the threshold must have: that none is left has a probability of e ** -44 at most,
-#: as two sets being given one 64-bit hash.
-AGREEING = 44.0
+#: Keys that similar large sets share at least, and bits of 64 that they agree in.
+SHARED, LEAST = 16, 45
+#: Orders of the n-grams that minima are taken in, and bins of each.
+ORDERS, BINS = 8, 128
 #: Members of a cluster that are verified in one go; larger clusters are verified in pairs of such chunks.
 CHUNK = 1024
 #: Sets of fewer than ``SMALL_SETS`` n-grams are joined by prefixes, with small sketches of so many bits. At that size
 #: a sketch still sets sets at the bound apart from strangers, by more than four standard deviations.
 SMALL, SMALL_SETS = 256, 160
-#: Cells of the table of how common n-grams are, as a power of 2, and the share of the small texts (a text in so many) that fills it.
-CELLS, SHARE = 20, 16
+#: Cells of the table of how common n-grams are, as a power of 2, and the shares of the small texts and of all (a text in so many) that fill it.
+CELLS, SHARE, SHARE_ALL = 20, 16, 64
+#: First bits of a key that keys are packed by, and the keys that a task packs, or compares, at a time.
+PACK, HELD = 12, 1 << 19
 #: Sets that a task remembers to have sent.
 SEEN = 1 << 20
 
 
-def _at_least(k: int, mean: float) -> float:
-    """P(Poisson(mean) >= k)."""
-    return 1 - math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(k))
-
-
-@cache
-def blocks(band: int, threshold: float) -> tuple[int, int]:
-    """(number of blocks, least number of n-grams of a block that is joined) for sets of ``2 ** band`` and more: the fewest keys that leave ``AGREEING`` blocks."""
-    r = (1 - threshold) / (1 + threshold)
-    low, high = max(1 << band, SMALL_SETS), (2 << band) - 1
-    sizes = (low, (low + high) // 2, high, int(high * (1 + 1 / threshold) / 2) + 1)  # means of a pair; the last one's larger set is of the band above
-    best = (math.inf, 0, 0)
-    for least in (1, 2, 3, 4):
-        b = 1
-        while b <= 4 * low:  # more would hold few n-grams each, and say less
-            if min(b * math.exp(-2 * r * s / b) * _at_least(least, (1 - r) * s / b) for s in sizes) >= AGREEING:
-                best = min(best, (b * _at_least(least, sizes[1] / b), b, least))
-            b += max(1, b // 24)
-    if not best[1]:
-        raise ValueError("no number of blocks is enough at this threshold")
-    return best[1:]
-
-
-def prefix(sets: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The rarest n-grams of a set, so many that similar sets have one of them in common: the least of those that they share.
+def prefix(sets: np.ndarray, common: np.ndarray | None, threshold: float, shared: int = 1) -> np.ndarray:
+    """The rarest n-grams of a set, so many that similar sets have ``shared`` of them in common (or all that they share): the least of those that they share.
 
     Which n-grams count as rare is taken from a sample; that is only the order, and any order that is one for all sets loses no pair."""
     n = len(sets)
-    most = n - math.ceil(threshold * n - 1e-9) + 1
-    return sets[np.lexsort((sets, common[(sets >> np.uint64(64 - CELLS)).astype(np.int64)]))[:most]]
+    most = n - math.ceil(threshold * n - 1e-9) + shared
+    return sets[np.lexsort((sets, common[(sets >> np.uint64(64 - CELLS)).astype(np.int64)]))[:most]] if common is not None else sets[:most]
 
 
 def _common(source: DataFrame, n: int) -> np.ndarray:
-    """How common the n-grams of each cell are in a sample of the small texts, in powers of 2."""
+    """How common the n-grams of each cell are in a sample of the texts, of the small ones more, in powers of 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -108,7 +85,7 @@ def _common(source: DataFrame, n: int) -> np.ndarray:
             cell, count = np.unique((grams >> np.uint64(64 - CELLS)).astype(np.int32), return_counts=True)
             yield pa.record_batch([pa.array(cell), pa.array(count)], ["cell", "count"])
 
-    sample = source.where(f"pmod(xxhash64(id), {SHARE}) = 0 AND octet_length(text) < {SMALL_SETS * 16}").select("text")
+    sample = source.where(f"pmod(xxhash64(id), {SHARE}) = 0 AND octet_length(text) < {SMALL_SETS * 16} OR pmod(xxhash64(id), {SHARE_ALL}) = 0").select("text")
     got = sample.mapInArrow(run, "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
     out = np.zeros(1 << CELLS, np.uint8)
     out[got.column("cell").to_numpy()] = np.frexp(got.column("count").to_numpy().astype(float))[1]
@@ -119,21 +96,24 @@ def _dense_bits(size: int) -> int:
     return max(512, 1 << int(np.ceil(np.log2(1.5 * max(1, size)))))
 
 
-def sketch(sets: np.ndarray, threshold: float) -> np.ndarray:
-    """Block keys of a sorted set of n-gram hashes."""
-    n = len(sets)
-    band = n.bit_length() - 1
-    keys = []
-    for k in (band, band - 1):
-        if 2 << k <= SMALL_SETS or (k < band and threshold * n >= 1 << band):
-            continue  # too large for any partner in the band below
-        b, least = blocks(k, threshold)
-        block = ((sets >> np.uint64(32)) * np.uint64(b)) >> np.uint64(32)
-        begin = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        value = np.bitwise_xor.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), begin)
-        full = np.diff(np.append(begin, n)) >= least
-        keys.append(mix(value[full] * np.uint64(3) + block[begin][full] * np.uint64(64) + np.uint64(k)))
-    return np.concatenate(keys)
+_SEEDS = mix(np.arange(1, ORDERS + 1, dtype=np.uint64))[:, None]
+_EDGES = np.arange(ORDERS * BINS, dtype=np.uint64) << np.uint64(65 - (ORDERS * BINS).bit_length())
+
+
+def minima(sets: np.ndarray) -> np.ndarray:
+    """16 words: a bit of the least n-gram of each bin in each order; 0 where a bin is empty."""
+    some = np.sort(mix(sets[None] ^ _SEEDS), axis=1) // np.uint64(ORDERS) + (np.arange(ORDERS, dtype=np.uint64) << np.uint64(65 - ORDERS.bit_length()))[:, None]
+    some = some.ravel()
+    at = np.searchsorted(some, _EDGES)
+    least = some[np.minimum(at, len(some) - 1)]
+    own = least >> np.uint64(65 - (ORDERS * BINS).bit_length()) == np.arange(ORDERS * BINS, dtype=np.uint64)
+    return np.packbits((least & np.uint64(1)).astype(bool) & own).view(np.uint64)
+
+
+def sketch(sets: np.ndarray, threshold: float, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, a word of minima for each) of a sorted large set of n-gram hashes."""
+    keys = mix(prefix(sets, common, threshold, SHARED) ^ np.uint64(0x5851F42D4C957F2D))
+    return keys, minima(sets)[(keys & np.uint64(15)).astype(np.int64)]
 
 
 def parity(sets: np.ndarray, m: int) -> bytes:
@@ -142,37 +122,42 @@ def parity(sets: np.ndarray, m: int) -> bytes:
 
 
 def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, size, signature of the set, block keys, prefix keys, small and dense sketch) of each document that has words."""
+    """(id, size, signature of the set, keys with their words in turn, prefix keys, small and dense sketch) of each document that has words."""
     source = _source(docs, text, doc_id)
     common = _common(source, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
-        for batch in slices(batches, "text"):
-            data, offs = buffers(batch.column(1))
-            start, end, first = words(data, offs)
-            grams, begin = shingles(span_hashes(data, start, end), first, n)
-            at = np.flatnonzero(np.diff(begin))
-            size, signature, keys, rare, small, dense = [], [], [], [], [], []
-            for i in at:
-                own = np.unique(grams[begin[i] : begin[i + 1]])
-                size.append(len(own))
-                signature.append(_signature(own))
-                keys.append(sketch(own, threshold) if len(own) >= SMALL_SETS else none)
-                # larger sets meet small ones there
-                low = threshold * len(own) < SMALL_SETS
-                rare.append(prefix(own, common, threshold) if low else none)
-                small.append(np.uint64(len(own)).tobytes() + parity(own, SMALL) if low else None)
-                dense.append(parity(own, _dense_bits(len(own))))
-
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(at)), pa.array(size, pa.int32()), pa.array(signature, pa.int64()), _lists(keys), _lists(rare), pa.array(small, pa.binary()), pa.array(dense, pa.binary())],
-                ["id", "size", "signature", "keys", "rare", "small", "dense"],
-            )
+        for ids, sets in _documents(batches, n):
+            first, second = _sizes(ids, sets), _joined_by(sets, common, threshold)
+            yield pa.record_batch([*first.columns[:3], *second.columns[1:], first.column(3)], ["id", "size", "signature", "keys", "rare", "small", "dense"])
 
     return source.mapInArrow(run, "id bigint, size int, signature bigint, keys array<bigint>, rare array<bigint>, small binary, dense binary")
 
 
+def _documents(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, sorted sets) of the (id, text) rows that have words."""
+    for batch in slices(batches, "text"):
+        data, offs = buffers(batch.column(1))
+        start, end, first = words(data, offs)
+        grams, begin = shingles(span_hashes(data, start, end), first, n)
+        at = np.flatnonzero(np.diff(begin))
+        yield batch.column(0).take(pa.array(at)), [np.unique(grams[begin[i] : begin[i + 1]]) for i in at]
+
+
+def _sizes(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    dense = [parity(x, _dense_bits(len(x))) for x in sets]
+    return pa.record_batch([ids, pa.array([len(x) for x in sets], pa.int32()), pa.array([_signature(x) for x in sets], pa.int64()), pa.array(dense, pa.binary())], ["id", "size", "signature", "dense"])
+
+
+def _joined_by(sets: list[np.ndarray], common: np.ndarray, threshold: float) -> pa.RecordBatch:
+    none = np.zeros(0, np.uint64)
+    low = [threshold * len(x) < SMALL_SETS for x in sets]  # larger sets meet small ones there
+    keys = [np.stack(sketch(x, threshold, common), 1).ravel() if len(x) >= SMALL_SETS else none for x in sets]
+    rare = [prefix(x, common, threshold) if y else none for x, y in zip(sets, low)]
+    small = [np.uint64(len(x)).tobytes() + parity(x, SMALL) if y else None for x, y in zip(sets, low)]
+    return pa.record_batch([pa.array([_signature(x) for x in sets], pa.int64()), _lists(keys), _lists(rare), pa.array(small, pa.binary())], ["signature", "keys", "rare", "small"])
+
+
 def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return small_batches(docs).select(F.col(plain(doc_id)).cast("bigint").alias("id"), F.lower(F.col(plain(text)).cast("string")).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
@@ -208,7 +193,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatc
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, small sketch) of each block and, with the sketch, each rare n-gram of (signature, keys, rare, small sketch) rows; a set that the task has seen isn't sent again."""
+    """(key, node, word or small sketch) of each key of (signature, keys, rare, small sketch) rows; a set that the task has seen isn't sent again."""
     seen: set[int] = set()
     for batch in batches:
         at = []
@@ -219,36 +204,96 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > SEEN:
             seen.clear()
         own = batch.take(pa.array(at, pa.int64()))
-        for k in (1, 2):
-            of = pa.array(np.repeat(np.arange(len(at)), own.column(k).value_lengths().to_numpy()))
-            yield pa.record_batch([own.column(k).flatten(), own.column(0).take(of), own.column(3).take(of) if k == 2 else pa.nulls(len(of), pa.binary())], ["key", "node", "small"])
+        both = own.column(1).flatten().to_numpy().reshape(-1, 2)
+        of = pa.array(np.repeat(np.arange(len(at)), own.column(1).value_lengths().to_numpy() // 2))
+        yield pa.record_batch([pa.array(both[:, 0]), own.column(0).take(of), _binary(both[:, 1].copy().view("V8"))], ["key", "node", "small"])
+        of = pa.array(np.repeat(np.arange(len(at)), own.column(2).value_lengths().to_numpy()))
+        yield pa.record_batch([own.column(2).flatten(), own.column(0).take(of), own.column(3).take(of)], ["key", "node", "small"])
+
+
+def _binary(rows: np.ndarray, begin: np.ndarray | None = None) -> pa.Array:
+    """The bytes of an array's rows, or of the runs of them that begin there and end with the next one's begin."""
+    offs = np.arange(len(rows) + 1) if begin is None else np.append(begin, len(rows))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * rows.dtype.itemsize).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
+
+#: A packed key of a large set, and of a small one.
+_PACKED = [np.dtype([("key", "<u4"), ("node", "<i8"), ("word", "<u8", (k,))]) for k in (1, SMALL // 64 + 1)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first bits of the keys and their kind, keys of that sort with their nodes and words) of (key, node, word or small sketch) rows, each batch of one kind."""
+    held: list[list[np.ndarray]] = [[], []]
+
+    def rows(kind: int) -> pa.RecordBatch:
+        key = np.concatenate([x["full"] for x in held[kind]])
+        by = np.argsort(key)
+        first = (key[by] >> np.uint64(64 - PACK)).astype(np.int32)
+        begin = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+        out = np.zeros(len(key), _PACKED[kind])
+        for name in ("node", "word"):
+            out[name] = np.concatenate([x[name] for x in held[kind]])[by]
+        out["key"] = key[by].astype(np.uint32)
+        held[kind].clear()
+        return pa.record_batch([pa.array(first[begin] * 2 + kind), _binary(out, begin)], ["part", "packed"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word = buffers(batch.column(2))[0].view(np.uint64).reshape(batch.num_rows, -1)
+        kind = int(word.shape[1] > 1)
+        held[kind].append({"full": batch.column(0).to_numpy().view(np.uint64), "node": batch.column(1).to_numpy(), "word": word})
+        if sum(len(x["full"]) for x in held[kind]) >= HELD:
+            yield rows(kind)
+    for kind in (0, 1):
+        if held[kind]:
+            yield rows(kind)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, keys, nodes, words), sorted by key and node and without repeats, of whole buckets of sorted (part, packed) rows."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def rows() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for kind in (0, 1):
+            own = [(part, data, offs, at) for part, data, offs in held if len(at := np.flatnonzero(part % 2 == kind))]
+            if not own:
+                continue
+            packed = np.concatenate([data[offs[i] : offs[i + 1]] for _, data, offs, at in own for i in at.tolist()]).view(_PACKED[kind])
+            many = np.concatenate([np.diff(offs)[at] for _, _, offs, at in own]) // _PACKED[kind].itemsize
+            part = np.concatenate([part[at] for part, _, _, at in own]).astype(np.uint64)
+            key = np.repeat(part << np.uint64(32), many) | packed["key"]
+            by = np.lexsort((packed["node"], key))
+            key, packed = key[by], packed[by]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (packed["node"][1:] != packed["node"][:-1]))
+            yield kind, key[fresh], packed["node"][fresh], packed["word"][fresh]
+        held.clear()
+
+    for batch in _runs(batches, 0):
+        held.append((batch.column(0).to_numpy(), *buffers(batch.column(1))))
+        if sum(len(x[1]) for x in held) >= HELD * _PACKED[0].itemsize:
+            yield from rows()
+    yield from rows()
 
 
 def _bucket_ties(threshold: float):
-    """Ties (a, b), a < b, within the buckets of (key, node, small sketch) rows that are sorted by key."""
+    """Ties (a, b), a < b, within the buckets of packed rows that are sorted by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = (1 - threshold) / (1 + threshold)
-        for batch in _runs(batches, 0):
-            key, ids = (batch.column(k).to_numpy() for k in range(2))
-            has = ~batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            # an order of its own in each bucket: who isn't tied in one is in another; a key of both kinds is two buckets
-            by = np.lexsort((ids, mix(ids.view(np.uint64) ^ mix(key.view(np.uint64))), has, key))
-            key, ids = key[by], ids[by]
-            sk = np.zeros((len(key), SMALL // 64 + 1), np.uint64)
-            sk[has] = buffers(batch.column(2))[0].view(np.uint64).reshape(-1, SMALL // 64 + 1)
-            sk, has = sk[by], has[by]
-            fresh = np.append(True, (key[1:] != key[:-1]) | (has[1:] != has[:-1]) | (ids[1:] != ids[:-1]))
-            key, ids, sk, has = key[fresh], ids[fresh], sk[fresh], has[fresh]
-            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (has[1:] != has[:-1])))
+        for kind, key, ids, sk in _unpacked(batches):
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             many = np.diff(np.append(begin, len(key)))
             begin, many = begin[many > 1], many[many > 1]
             out: list[np.ndarray] = []
             held = 0
-            for s in np.unique(many).tolist():
-                for at in np.array_split(begin[many == s], max(1, (many == s).sum() * s >> 18)):
-                    rows = at[:, None] + np.arange(s)
-                    for x, y in chain(_loose(rows[~has[at]]), _near(sk, rows[has[at]], r)):
+            # buckets of a size at a time; of the larger ones, those of similar sizes
+            wide = many if kind else np.where(many > 8, np.ceil(1.2 ** np.ceil(np.log(many) / np.log(1.2) - 1e-9) - 1e-6), many).astype(np.int64)
+            for s in np.unique(wide).tolist():
+                of = wide == s
+                for part in np.array_split(np.flatnonzero(of), max(1, of.sum() * s >> 18)):
+                    rows = begin[part][:, None] + np.arange(s)
+                    for x, y in _near(sk, rows, r) if kind else _forest(sk[:, 0], rows, many[part]):
                         out.append(np.stack([ids[x], ids[y]]))
                         held += len(x)
                         if held > 1 << 20:
@@ -260,11 +305,23 @@ def _bucket_ties(threshold: float):
     return run
 
 
-def _loose(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ties of buckets of large sets, a bucket's rows a row: to the first and the two before."""
-    for k in (1, 2):
-        yield rows[:, :-k].ravel(), rows[:, k:].ravel()
-    yield np.repeat(rows[:, 0], max(0, rows.shape[1] - 3)), rows[:, 3:].ravel()
+def _forest(word: np.ndarray, rows: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ties of buckets of large sets, a bucket's first ``many`` rows a row: a maximum spanning forest of the pairs that agree in ``LEAST`` bits."""
+    n, s = rows.shape
+    rows = np.minimum(rows, len(word) - 1)
+    words, every = word[rows], np.arange(n)
+    out = np.arange(s) >= many[:, None]  # what is in the forest, or isn't in the bucket
+    best, to = np.full((n, s), -1, np.int8), np.zeros((n, s), np.int32)
+    at = np.zeros(n, np.int64)
+    for _ in range(s - 1):
+        out[every, at] = True
+        agree = (64 - np.bitwise_count(words ^ words[every, at][:, None])).astype(np.int8)
+        np.copyto(to, at[:, None], where=agree > best, casting="same_kind")
+        np.maximum(best, agree, out=best)
+        at = np.where(out, np.int8(-1), best).argmax(1)
+        tied = np.flatnonzero((best[every, at] >= LEAST) & ~out[every, at])
+        if len(tied):
+            yield rows[tied, at[tied]], rows[tied, to[tied, at[tied]]]
 
 
 def _near(sk: np.ndarray, rows: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -317,10 +374,17 @@ def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, begin], np.diff(np.append(begin, pairs.shape[1]))
 
 
-def ties(every: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def ties(every: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): pairs of sets, a < b, that share keys and whose parity sketches are within the bound; enough of them to hold clusters together."""
-    keys = every.select("signature", "keys", "rare", "small").mapInArrow(_keys, "key bigint, node bigint, small binary")
-    found = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_ties(threshold), "a bigint, b bigint").distinct(), "ties")
+    source = _source(docs, text, doc_id)
+    common = _common(source, n)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(_keys(_joined_by(sets, common, threshold) for _, sets in _documents(batches, n)))
+
+    # keys are taken from the texts again, which costs less than keeping them
+    packed = source.mapInArrow(keys, "part int, packed binary").repartition("part").sortWithinPartitions("part")
+    found = written(packed.mapInArrow(_bucket_ties(threshold), "a bigint, b bigint").distinct(), "ties")
     # written, so that a join with it can be split where one set has many ties
     dense = written(every.select("signature", "size", "dense").dropDuplicates(["signature"]), "dense")
     left, right = (dense.select(F.col("signature").alias(k), F.col("size").alias(f"size_{k}"), F.col("dense").alias(f"dense_{k}")) for k in "ab")
@@ -472,11 +536,15 @@ def _bound(threshold: float):
 
 def _members(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id and signature of each document, least id of each signature, and members of clusters with their n-grams where they are to be verified)."""
-    every = written(sketches(docs, text, doc_id, n, threshold), "sketches")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_sizes(ids, sets) for ids, sets in _documents(batches, n))
+
+    every = written(_source(docs, text, doc_id).mapInArrow(measured, "id bigint, size int, signature bigint, dense binary"), "sketches")
     by_id = written(every.groupBy("id").agg(F.min("signature").alias("signature")), "ids")
     # texts that no id counts as its own have no least id, and drop out here
     least = written(by_id.groupBy("signature").agg(F.min("id").alias("least")), "least")
-    home = clusters(ties(every, threshold)).select(F.col("id").alias("signature"), F.col("cluster").alias("home"))
+    home = clusters(ties(every, docs, text, doc_id, n, threshold)).select(F.col("id").alias("signature"), F.col("cluster").alias("home"))
     home = written(home.join(least, "signature").select("signature", F.col("least").alias("id"), "home"), "homes")
 
     # chunks of a cluster by a hash of the id, so that no row of a cluster needs to know the others

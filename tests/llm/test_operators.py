@@ -369,6 +369,31 @@ def test_quality_rules(spark):
     assert quality_rules.kept(docs.join(labels.where("quality = 1"), "doc_id", "left_semi"), good).count() == labels.where("quality = 1").count()
 
 
+def test_all_labelled_rows_count(spark, monkeypatch):
+    """However many there are: sums over all good rows, and a threshold that is exact over all held ones."""
+    monkeypatch.setattr(quality_rules, "TRAIN_ROWS", 40, raising=False)
+    docs, labels = labelled(spark, 300, 23)
+    monkeypatch.setattr(quality_rules.fit, "__defaults__", tuple(40 if x == 8192 else x for x in quality_rules.fit.__defaults__))
+    model = quality_rules.fit(docs, labels)
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    counts, sizes = quality_rules.statistics(*buffers(pa.array([r.text for r in docs.collect() if r.doc_id in good])))
+    assert model["prior"] == pytest.approx(counts.sum(0) / sizes.sum(0))
+
+
+@pytest.mark.parametrize("bad", [0.3, 0.0])
+def test_calibration_by_brute_force(spark, bad):
+    rng = np.random.default_rng(24)
+    rows = [(float(np.clip(round(rng.normal(0.6 if b else 0.45, 0.05), 3), 0, 1)), not b) for b in (rng.random(3000) < bad).tolist()]
+    got = quality_rules.calibrate(spark.createDataFrame(rows, "score double, good boolean"), 0.01)
+    cuts = sorted({s for s, _ in rows})
+    if not bad:
+        assert got == cuts[-1]
+        return
+    shares = [[sum(s > c for s, g in rows if g is kind) / sum(g is kind for _, g in rows) for kind in (True, False)] for c in cuts]
+    k = max((i for i, (g, _) in enumerate(shares) if g <= 0.01), key=lambda i: (shares[i][1] - shares[i][0], -i))
+    assert got == pytest.approx((cuts[k] + cuts[min(k + 1, len(cuts) - 1)]) / 2, abs=1e-12)
+
+
 def test_isolation_paths_by_brute_force():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3)).round(2)

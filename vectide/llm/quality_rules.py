@@ -3,7 +3,9 @@
 Each document is described by the statistics that hand-written quality rules look
 at. Trees of random splits isolate rare rows after few splits, so a short mean path
 marks an anomalous document. The score above which documents are rejected is
-calibrated from labelled rows, not set by hand: every second one grows the forest, the others set the threshold.
+calibrated from labelled rows, not set by hand. All of them count: what is usual is summed over all good ones; half of them, by a hash
+of the id, grow the forest; all of the others set the threshold, exactly. A tree of an isolation forest is grown on ``SAMPLE`` rows by definition;
+where there are more rows than all trees take, so many are drawn for them from all rows, by hash.
 
 Statistics are shares that are damped towards the sample's mean by ``DAMP`` words, so
 that a document of one word isn't an anomaly for being short, and length itself is no
@@ -15,7 +17,7 @@ Defined results
     very long text      measured whole
     repeated rows, ties each row has its result; equal statistics have equal scores; a score at the threshold is kept
     empty table         no rows
-    one labelled row    grows the forest and sets the threshold
+    few labelled rows   of which a half is empty: all grow the forest and set the threshold
     no labelled rows    nothing is known to be bad: ``score`` null, ``keep`` true where there is text
     labels of one kind  the threshold is the highest score of the labelled rows, so nothing like them is rejected
     other columns       only those named in ``keep`` are carried along
@@ -24,6 +26,7 @@ Defined results
 from __future__ import annotations
 
 import functools
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -34,14 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import buffers, filtered, flag_spans, slices, small_batches, span_hashes, words
-from ._labels import labelled
-from ._storage import plain, table
+from ._labels import verdicts
+from ._storage import plain, table, written
 
-#: Bound of the labelled rows that the forest and its threshold are fitted on.
-TRAIN_ROWS = 8192
 TREES, SAMPLE = 200, 256
 #: The share of labelled good rows that the threshold may reject.
 FALSE_REJECTS = 0.002
+#: Parts of the range of scores that are calibrated apart, for which counts come to the driver.
+BINS = 1 << 14
 DAMP = 20.0
 STATISTICS = ("symbols", "symbol_runs", "capitals", "bars", "repeated_words", "repeated_lines", "word_bytes", "distinct_words")
 
@@ -155,47 +158,88 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, false_rejects: float = FALSE_REJECTS) -> float:
-    """The threshold that rejects the most bad rows less good ones, by share, while rejecting at most ``false_rejects`` of the good."""
-    if good.all() or not good.any():
-        return float(score.max())
-    cuts = np.unique(score)
-    good_over = (good.sum() - np.searchsorted(np.sort(score[good]), cuts, "right")) / good.sum()
-    bad_over = ((~good).sum() - np.searchsorted(np.sort(score[~good]), cuts, "right")) / (~good).sum()
-    fit = np.where(good_over <= false_rejects, bad_over - good_over, -np.inf)
-    k = int(np.argmax(fit))
-    above = cuts[k + 1] if k + 1 < len(cuts) else cuts[k]
-    return float((cuts[k] + above) / 2)
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = TRAIN_ROWS) -> dict | None:
-    """The fitted model, or None without labelled rows. Statistics are taken on the executors; only they come to the driver."""
+def calibrate(scores: DataFrame, false_rejects: float = FALSE_REJECTS) -> float:
+    """The threshold that rejects the most bad rows less good ones, by share, while rejecting at most ``false_rejects`` of the good, of (score, good) rows.
+
+    Exact over all rows: counts of each part of the range tell how many rows lie above it, and each part is then searched by itself."""
+    part = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("part")
+    each = written(scores.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).select(part, "*"), "scores")
+    parts = each.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("score").alias("most")).toArrow().sort_by("part")
+    good, bad = (parts[c].to_numpy() for c in ("good", "bad"))
+    if not good.any() or not bad.any():
+        return float(parts["most"].to_numpy().max())
+    n_good, n_bad = int(good.sum()), int(bad.sum())
+    over = dict(zip(parts["part"].to_pylist(), zip((n_good - np.cumsum(good)).tolist(), (n_bad - np.cumsum(bad)).tolist())))
+
+    def best(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("score")
+        k, cuts, own = rows["part"][0].as_py(), rows["score"].to_numpy(), [rows[c].to_numpy() for c in ("good", "bad")]
+        good_over, bad_over = ((over[k][i] + x.sum() - np.cumsum(x)) / n for i, (x, n) in enumerate(zip(own, (n_good, n_bad))))
+        fit = np.where(good_over <= false_rejects, bad_over - good_over, -np.inf)
+        at = int(np.argmax(fit))
+        return pa.table({"least": cuts[:1], "fit": fit[at : at + 1], "cut": cuts[at : at + 1], "above": pa.array(cuts[at + 1 : at + 2] if at + 1 < len(cuts) else [None], pa.float64())})
+
+    found = each.groupBy("part").applyInArrow(best, "least double, fit double, cut double, above double").toArrow().sort_by("least")
+    k = int(np.argmax(found["fit"].to_numpy()))
+    cut, above = found["cut"][k].as_py(), found["above"][k].as_py()
+    if above is None:
+        above = found["least"][k + 1].as_py() if k + 1 < len(found) else cut
+    return float((cut + above) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None:
+    """The fitted model, or None without labelled rows. Statistics are taken on the executors; sums, counts and the trees' rows come to the driver."""
     k = len(STATISTICS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            counts, sizes = statistics(*buffers(batch.column(2)))
-            both = np.concatenate([counts, sizes], 1)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, both.size + 1, 2 * k, dtype=np.int32)), pa.array(both.ravel()))], ["doc_id", "quality", "x"])
-
-    rows = labelled(docs, labels, most, text).where("text != ''").select("doc_id", "quality", "text")
-    idtype = rows.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(measure, f"doc_id {idtype}, quality int, x array<double>").collect())
-    if not got:
+            counts, sizes = statistics(*buffers(batch.column(1)))
+            yield pa.record_batch([batch.column(0), _vectors(np.concatenate([counts, sizes], 1))], ["doc_id", "x"])
+
+    own = small_batches(docs).select("doc_id", F.col(plain(text)).cast("string").alias("text")).where("doc_id IS NOT NULL AND text != ''")
+    # labels meet the statistics, not the texts
+    x = own.mapInArrow(measure, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, x array<double>").join(verdicts(labels), "doc_id")
+    rows = written(x.select(F.xxhash64("doc_id").alias("hash"), (F.col("quality") >= 1).alias("good"), "x"), "statistics")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, 2 * k + 1))  # a line a half and kind; whole numbers, so their order doesn't matter
+        for batch in batches:
+            half, good, both = _half(batch)
+            np.add.at(total, half * 2 + good, np.concatenate([both, np.ones((len(both), 1))], 1))
+        yield pa.record_batch([_vectors(total.reshape(1, -1))], ["x"])
+
+    parts = rows.mapInArrow(summed, "x array<double>").toArrow()["x"].to_pylist()
+    total = np.sum(np.array(parts).reshape(-1, 4, 2 * k + 1), 0) if parts else np.zeros((4, 2 * k + 1))
+    n = total[:, -1].reshape(2, 2)  # by half, and bad or good
+    if not n.any():
         return None
-    both = np.array([r.x for r in got])
-    good = np.array([r.quality >= 1 for r in got])
-    counts, sizes = both[:, :k], both[:, k:]
-    base = good if good.any() else ~good
-    prior = counts[base].sum(0) / np.maximum(sizes[base].sum(0), 1)
-    x = damped(counts, sizes, prior)
-    if len(x) < 2 or good.all() or not good.any():
-        grow = held = np.ones(len(x), bool)
-    else:
-        grow = np.arange(len(x)) % 2 == 0
-        held = ~grow
-    forest = Forest(x[grow])
-    return {"prior": prior, "forest": forest, "threshold": calibrate(forest.score(x[held]), good[held])}
+    base = total[1] + total[3] if n[:, 1].any() else total[0] + total[2]
+    prior = base[:k] / np.maximum(base[k : 2 * k], 1)
+    split = n.any(1).all() and n.any(0).all()
+    grow, held = (rows.where(f"pmod(hash, 2) = {i}") for i in (0, 1)) if split else (rows, rows)
+    share = min(1.0, TREES * SAMPLE / (n[0].sum() if split else n.sum()))
+    got = grow.where(F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))).select("x").toArrow()
+    both = np.array(got["x"].combine_chunks().flatten()).reshape(-1, 2 * k)
+    both = both[np.lexsort(both.T)]
+    forest = Forest(damped(both[:, :k], both[:, k:], prior))
+    state = pickle.dumps({"prior": prior, "forest": forest})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _loaded(state)
+        for batch in batches:
+            _, good, both = _half(batch)
+            yield pa.record_batch([pa.array(m["forest"].score(damped(both[:, :k], both[:, k:], m["prior"]))), pa.array(good.astype(bool))], ["score", "good"])
+
+    return {"prior": prior, "forest": forest, "threshold": calibrate(held.mapInArrow(score, "score double, good boolean"))}
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _half(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(half, good, statistics) of (hash, good, x) rows."""
+    return batch.column(0).to_numpy() % 2, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
 @functools.lru_cache(1)

@@ -736,6 +736,22 @@ def test_large_clusters_are_verified_in_chunks(spark, monkeypatch):
     assert len(set(got) & set(want)) >= 0.995 * len(want) and set(got) <= set(want)
 
 
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_blocks_of_long_members_are_verified_in_parts(spark, monkeypatch, chunk):
+    """A task holds a bounded number of n-grams at once, however long the near copies of a cluster are, and the result is the same."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "GRAMS", 2000, raising=False)
+    texts = near_copies(random.Random(18), [2000, 300], 20) + ["a pair", "a pair", "a a pair"]
+    df = docs_of(spark, texts)
+    rows = ngram_join._members(df, "text", "doc_id", ngram_join.NGRAM, ngram_join.THRESHOLD)[2].toArrow().to_pylist()
+    held = Counter()
+    for r in rows:
+        held[r["cluster"], r.get("part")] += len(r["grams"])
+    assert max(held.values()) < 2 * 2000 and len(held) > 10
+    got = {r.doc_id: (r.class_id, r.copy_of, r.n_links) for r in ngram_join.classes(df).collect()}
+    assert got == dict(enumerate(brute_classes(texts, ngram_join.THRESHOLD)))
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):

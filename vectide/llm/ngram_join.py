@@ -54,6 +54,8 @@ SHARED, LEAST = 16, 45
 ORDERS, BINS = 8, 128
 #: Members of a cluster that are verified in one go; larger clusters are verified in pairs of such chunks.
 CHUNK = 1024
+#: N-grams of such a block that are counted at a time; those of a block with more come in parts, by ranges of their hashes.
+GRAMS = 1 << 20
 #: Sets of fewer than ``SMALL_SETS`` n-grams are joined by prefixes, with small sketches of so many bits. At that size
 #: a sketch still sets sets at the bound apart from strangers, by more than four standard deviations.
 SMALL, SMALL_SETS = 256, 160
@@ -172,18 +174,19 @@ def _lists(x: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
-    """Record batches, each of whole runs of equal values in column ``key`` of sorted input."""
+def _runs(batches: Iterator[pa.RecordBatch], *keys: int) -> Iterator[pa.RecordBatch]:
+    """Record batches, each of whole runs of equal values in the columns ``keys`` of sorted input."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(key).to_numpy()
-        cut = int(np.searchsorted(col, col[-1]))
+        cols = [batch.column(k).to_numpy() for k in keys]
+        change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols], 0))
+        cut = int(change[-1]) + 1 if len(change) else 0
         if cut:
             yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
             held = [batch.slice(cut)]
-        elif held and held[-1].column(key)[-1].as_py() != col[0]:
+        elif held and any(held[-1].column(k)[-1].as_py() != x[0] for k, x in zip(keys, cols)):
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = [batch]
         else:
@@ -419,33 +422,53 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(n: int):
-    """The n-grams of (cluster, side, id, signature, text) rows whose text has the signature."""
+    """The n-grams of (cluster, side, id, signature, parts, text) rows whose text has the signature, a row for each of so many parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data, offs = buffers(batch.column(4))
+            data, offs = buffers(batch.column(5))
             start, end, first = words(data, offs)
             grams, begin = shingles(span_hashes(data, start, end), first, n)
             sets = [np.unique(grams[begin[i] : begin[i + 1]]) for i in range(batch.num_rows)]
             signature = batch.column(3).to_pylist()
             at = [i for i, x in enumerate(sets) if len(x) and _signature(x) == signature[i]]
             sets = [sets[i] for i in at]
-            own = batch.take(pa.array(at, pa.int64()))
-            yield pa.record_batch([*own.columns[:3], pa.array([len(x) for x in sets], pa.int32()), _lists(sets)], ["cluster", "side", "id", "size", "grams"])
+            parts = batch.column(4).to_numpy()[at]
+            own = batch.take(pa.array(np.repeat(at, parts).astype(np.int64)))
+            size = np.repeat([len(x) for x in sets], parts).astype(np.int32)
+            part = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in parts)])
+            yield pa.record_batch([own.column(0), pa.array(part), *own.columns[1:3], pa.array(size), _lists([y for x, k in zip(sets, parts.tolist()) for y in _split(x, k)])], ["cluster", "part", "side", "id", "size", "grams"])
 
     return run
 
 
+def _split(sets: np.ndarray, parts: int) -> list[np.ndarray]:
+    """A sorted set in ``parts`` equal ranges of hashes."""
+    return np.split(sets, np.searchsorted(sets, np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, Jaccard of the pairs that this block decides, which of them are similar) of each block of rows (cluster, side, id, size, grams), sorted by cluster.
+    """(ids, Jaccard of the pairs that this block decides, which of them are similar) of each block of rows (cluster, part, side, id, size, grams), sorted by cluster and part.
 
-    Sides 0 and 1 are two chunks of a cluster, side 2 is a whole one. Pairs are in the upper triangle."""
-    for batch in _runs(batches, 0):
-        cluster, side, ids, size = (batch.column(k).to_numpy() for k in range(4))
-        grams = batch.column(4)
+    Sides 0 and 1 are two chunks of a cluster, side 2 is a whole one. Pairs are in the upper triangle. Every part has a row a member; what members share is summed over the parts."""
+
+    def decided(ids: np.ndarray, side: np.ndarray, size: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = size.astype(np.float64)
+        met = np.triu(np.ones(common.shape, bool), 1) & ((side == 2)[:, None] | (side[:, None] != side[None, :]))
+        # the same division as in SQL: both are exact integers
+        j = common / (s[:, None] + s[None, :] - common)
+        return ids, j, met & (j >= threshold)
+
+    held, last = None, None
+    for batch in _runs(batches, 0, 1):
+        cluster, part, side, ids, size = (batch.column(k).to_numpy() for k in range(5))
+        grams = batch.column(5)
         flat, offs = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
-        edges = np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster))
+        edges = np.append(np.flatnonzero(np.append(True, (cluster[1:] != cluster[:-1]) | (part[1:] != part[:-1]))), len(cluster))
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if held and last != cluster[lo]:
+                yield decided(*held)
+                held = None
             own = np.arange(lo, hi)
             own = own[np.unique(ids[lo:hi], return_index=True)[1]]  # repeated rows
             n = len(own)
@@ -454,11 +477,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tup
             count = offs[own + 1] - offs[own]
             at = np.repeat(offs[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             common = _intersections(flat[at], np.repeat(np.arange(n), count), n)
-            s = size[own].astype(np.float64)
-            met = np.triu(np.ones((n, n), bool), 1) & ((side[own] == 2)[:, None] | (side[own][:, None] != side[own][None, :]))
-            # the same division as in SQL: both are exact integers
-            j = common / (s[:, None] + s[None, :] - common)
-            yield ids[own], j, met & (j >= threshold)
+            if held:
+                np.add(held[3], common, out=held[3])
+            else:
+                held, last = (ids[own], side[own], size[own], common), cluster[lo]
+    if held:
+        yield decided(*held)
 
 
 def _similar(threshold: float):
@@ -541,27 +565,29 @@ def _members(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float)
         return (_sizes(ids, sets) for ids, sets in _documents(batches, n))
 
     every = written(_source(docs, text, doc_id).mapInArrow(measured, "id bigint, size int, signature bigint, dense binary"), "sketches")
-    by_id = written(every.groupBy("id").agg(F.min("signature").alias("signature")), "ids")
+    by_id = written(every.groupBy("id").agg(F.min("signature").alias("signature"), F.min_by("size", "signature").alias("size")), "ids")
     # texts that no id counts as its own have no least id, and drop out here
-    least = written(by_id.groupBy("signature").agg(F.min("id").alias("least")), "least")
+    least = written(by_id.groupBy("signature").agg(F.min("id").alias("least"), F.min("size").alias("size")), "least")
     home = clusters(ties(every, docs, text, doc_id, n, threshold)).select(F.col("id").alias("signature"), F.col("cluster").alias("home"))
-    home = written(home.join(least, "signature").select("signature", F.col("least").alias("id"), "home"), "homes")
+    home = written(home.join(least, "signature").select("signature", F.col("least").alias("id"), "size", "home"), "homes")
 
     # chunks of a cluster by a hash of the id, so that no row of a cluster needs to know the others
-    sizes = home.groupBy("home").agg(F.count("*").alias("members"))
+    sizes = home.groupBy("home").agg(F.count("*").alias("members"), F.sum("size").alias("grams"))
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    member = home.join(sizes.where("members > 1"), "home").select("id", "signature", "home", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+    parts = F.ceil(F.col("grams") * F.least(chunks, F.lit(2)) / chunks / GRAMS).cast("int")
+    member = home.join(sizes.where("members > 1"), "home").select("id", "signature", "home", chunks.alias("chunks"), parts.alias("parts"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
     # of one chunk: the whole cluster; of more: each pair of chunks, and each chunk by itself
-    spread = member.select("id", "signature", "home", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
+    spread = member.select("id", "signature", "parts", "home", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
     spread = spread.select(
         "id",
         "signature",
+        "parts",
         F.xxhash64("home", F.least("chunk", "with"), F.greatest("chunk", "with")).alias("cluster"),
         F.when(F.col("chunk") == F.col("with"), 2).otherwise((F.col("chunk") > F.col("with")).cast("int")).alias("side"),
     )
     # members' n-grams are taken from their texts again, which costs less than keeping everyone's
-    sets = _source(docs, text, doc_id).join(spread.hint("merge"), "id").select("cluster", "side", "id", "signature", "text").mapInArrow(_sets(n), "cluster bigint, side int, id bigint, size int, grams array<bigint>")
-    return by_id, least, sets.repartition("cluster").sortWithinPartitions("cluster")
+    sets = _source(docs, text, doc_id).join(spread.hint("merge"), "id").select("cluster", "side", "id", "signature", "parts", "text").mapInArrow(_sets(n), "cluster bigint, part int, side int, id bigint, size int, grams array<bigint>")
+    return by_id.drop("size"), least.drop("size"), sets.repartition("cluster").sortWithinPartitions("cluster", "part")
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:

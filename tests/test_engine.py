@@ -458,3 +458,11 @@ def test_search_sends_little(spark):
         assert sent.count() == 900
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_mean_distances(spark):
+    df = spark.createDataFrame([("a", [1, 0, 0]), ("a", [1, 1, 0]), ("b", [0, 0, 0]), (None, [0, 1, 1]), ("b", None)], "g string, bits array<int>")
+    plan = S.mean_distances(df, "g", "bits")
+    got = {(r.query_group, r.group): (r.pairs, r.distance) for r in plan.collect()}
+    assert got["a", "a"] == (4, 0.25) and got["a", "b"] == (2, 1.0) and got["b", "b"] == (1, 0.0) and got["a", None] == got[None, "a"] == (2, round((1 + 2 / 3) / 2, 6)) and len(got) == 9
+    assert "zip_with" not in plan._jdf.queryExecution().executedPlan().toString()  # a pair is no row

@@ -138,11 +138,9 @@ def candidate_dedup_rerank(spark, d):
 WITH e AS ({_BITS}), b AS (SELECT * FROM e)
 SELECT q.label AS query_label, b.label, count(*) AS pairs, round(avg(1 - bit_count(q.v & b.v)::DOUBLE / bit_count(q.v | b.v)), 6) AS distance FROM e q CROSS JOIN b GROUP BY 1, 2""")
 def packed_jaccard(spark, d):
-    """Mean distances between labels over packed fingerprints: ``bit_count`` of two words each."""
-    bits = F.transform(F.col("vector"), lambda x: x > 0)
-    df = _vectors(spark, d).select("id", "label", V.packed(bits).alias("v"))
-    q = df.select(F.col("label").alias("query_label"), F.col("v").alias("q"))
-    return df.join(q).groupBy("query_label", "label").agg(F.count("*").alias("pairs"), F.round(F.avg(V.packed_jaccard_distance(F.col("q"), F.col("v"))), 6).alias("distance"))
+    """Mean distances between labels over all pairs of fingerprints."""
+    df = _vectors(spark, d).select("label", F.transform("vector", lambda x: (x > 0).cast("int")).alias("bits"))
+    return S.mean_distances(df, "label", "bits").select(F.col("query_group").alias("query_label"), F.col("group").alias("label"), "pairs", "distance")
 
 
 # -- vectors and records ------------------------------------------------------------------------------------------

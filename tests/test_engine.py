@@ -466,3 +466,19 @@ def test_mean_distances(spark):
     got = {(r.query_group, r.group): (r.pairs, r.distance) for r in plan.collect()}
     assert got["a", "a"] == (4, 0.25) and got["a", "b"] == (2, 1.0) and got["b", "b"] == (1, 0.0) and got["a", None] == got[None, "a"] == (2, round((1 + 2 / 3) / 2, 6)) and len(got) == 9
     assert "zip_with" not in plan._jdf.queryExecution().executedPlan().toString()  # a pair is no row
+
+
+def test_search_within_groups(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 3))
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else i % 4, x[i].tolist()) for i in range(90)], "id int, g int, vector array<double>")
+    found = S.search_within(df, df.withColumnRenamed("id", "query_id"), [("g", "g"), ("id % 9", "query_id % 9")], 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.id, r.distance) for r in found.collect()}
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
+    i = np.arange(90)
+    met = (i[:, None] % 9 == i % 9) | (i[:, None] % 4 == i % 4) & (i[:, None] % 11 > 0) & (i % 11 > 0)
+    want = {(int(q), int(b), float(d[q, b])) for q in i for b in [j for j in np.argsort(d[q], kind="stable") if met[q, j]][:5]}
+    assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in want} and len(got) == 450
+    # the candidates of a query are never listed: what is deduped are k rows a grouping and task
+    assert plan.index("MapInArrow") > plan.index("HashAggregate")

@@ -482,3 +482,15 @@ def test_search_within_groups(spark):
     assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in want} and len(got) == 450
     # the candidates of a query are never listed: what is deduped are k rows a grouping and task
     assert plan.index("MapInArrow") > plan.index("HashAggregate")
+
+
+def test_demux_of_odd_documents(spark, tmp_path):
+    """Texts that are empty, null or of one id: each document has a row a modality, as in SQL."""
+    import duckdb
+    from compare import assert_same
+
+    rows = [(1, ""), (2, None), (3, "a b  c"), (3, "x" * 70), (None, " "), (4, "é " * 50)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(catalog.queries()["demux_branches"](spark, str(tmp_path)), con, catalog.oracle_sql()["demux_branches"])

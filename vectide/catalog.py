@@ -315,7 +315,7 @@ def segment_clips(spark, d):
 WITH f AS (SELECT doc_id, ceil(length(text) / (30000::DOUBLE / 1001 * 2.0))::INT AS i, ((len(string_split(text, ' ')) + 15) // 16)::INT AS a FROM documents)
 SELECT doc_id, 'image' AS type, i AS n FROM f UNION ALL SELECT doc_id, 'audio', a FROM f""")
 def demux_branches(spark, d):
-    return make_operator("transform", "video-demux", id_col="doc_id")(_media(spark, d)).select("doc_id", "type", F.size("data").alias("n"))
+    return make_operator("transform", "video-demux", id_col="doc_id")(_media(spark, d)).select("doc_id", "type", F.when(F.col("data").isNotNull(), F.size("data")).alias("n"))
 
 
 @_query("""

@@ -52,8 +52,14 @@ def pooled_vectors(pooled: DataFrame, key: str) -> DataFrame:
 
 
 def demux(df: DataFrame, id_col: str, frame_count: Column, fps: Column, samples: Column, rate: Column, interval: float = 2.0) -> DataFrame:
-    """(id, data, type): the names of a file's frames and of its clips, a row for each modality."""
-    pictures = frames(df, id_col, frame_count, fps, interval).groupBy(id_col).agg(F.sort_array(F.collect_list("name")).alias("data")).withColumn("type", F.lit("image"))
-    n = F.ceil(F.size(samples) / F.floor(rate * F.lit(interval))).cast("int")
-    sounds = df.select(id_col, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.format_string("audio_%04d.wav", i))).otherwise(F.array().cast("array<string>")).alias("data")).withColumn("type", F.lit("audio"))
-    return pictures.unionByName(sounds)
+    """(id, data, type): the names of a file's frames and of its clips, a row for each file and modality; none is an empty list, and null where it isn't known how many there are."""
+
+    def names(n: Column, form: str) -> Column:
+        n = n.cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.format_string(form, i))).when(n <= 0, F.array().cast("array<string>"))
+
+    many = F.when(samples.isNotNull(), F.size(samples))
+    pictures = names(F.ceil(frame_count / (fps * F.lit(interval))), "frame_%04d.png")
+    sounds = names(F.ceil(many / F.floor(rate * F.lit(interval))), "audio_%04d.wav")
+    both = F.array(F.struct(pictures.alias("data"), F.lit("image").alias("type")), F.struct(sounds.alias("data"), F.lit("audio").alias("type")))
+    return df.select(id_col, F.explode(both).alias("_m")).select(id_col, "_m.data", "_m.type")

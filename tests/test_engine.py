@@ -421,7 +421,7 @@ def nearest(x, ids, d, k=10):
     return {(q, int(ids[j]), float(d[q, j])) for q in range(len(d)) for j in np.lexsort((ids, d[q]))[:k]}
 
 
-@pytest.mark.parametrize("metric", ["l2"])
+@pytest.mark.parametrize("metric", ["l2", "lp"])
 def test_search_kernel(metric):
     """Blocks of rows give what all rows give, with equal rows, in little memory: a task holds no matrix of all distances."""
     import tracemalloc
@@ -507,3 +507,25 @@ def test_search_all_spreads_a_value(spark, monkeypatch):
     assert len(whole) == 4 * df.where("name IS NOT NULL").count() and whole[:4] == [(1, 1, 0.0, 1, "v1"), (1, 4, 0.0, 2, "v1"), (1, 10, 0.0, 3, "v1"), (1, 13, 0.0, 4, "v1")]
     monkeypatch.setattr(S, "FEW", 1)
     assert sorted(tuple(r) for r in S.search_all(df, "name", make, 4).collect()) == whole
+
+
+def test_lp_is_bounded():
+    """Two products tell of more than half of the pairs that they are too far, and of none that is near."""
+    rng = np.random.default_rng(0)
+    q, v = rng.normal(size=(50, 64)), rng.normal(size=(20000, 64))
+    d = np.abs(q[:, None] - v[None]).sum(2)
+    border = np.partition(d, 9, 1)[:, 9]
+    x, y = S._Bound(q, "lp", 1.0).pairs(v, border, d.size)
+    assert {*zip(*np.nonzero(d <= border[:, None]))} <= {*zip(x.tolist(), y.tolist())} and len(x) < 0.5 * d.size
+
+
+def test_two_stage_measures_in_place(spark, monkeypatch):
+    """Candidates are measured where they are found: no vector is joined to a candidate. Several parts of the rows give what one gives."""
+    rng = np.random.default_rng(1)
+    df = vec(spark, [(i, rng.normal(size=6).tolist()) for i in range(120)])
+    found = S.two_stage(df, df.withColumnRenamed("id", "query_id"), 3, 10, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    whole = sorted(tuple(r) for r in found.collect())
+    monkeypatch.setattr(S, "BLOCK_BYTES", 1000)
+    assert sorted(tuple(r) for r in S.two_stage(df, df.withColumnRenamed("id", "query_id"), 3, 10, 2).collect()) == whole and len(whole) == 360

@@ -529,3 +529,25 @@ def test_two_stage_measures_in_place(spark, monkeypatch):
     whole = sorted(tuple(r) for r in found.collect())
     monkeypatch.setattr(S, "BLOCK_BYTES", 1000)
     assert sorted(tuple(r) for r in S.two_stage(df, df.withColumnRenamed("id", "query_id"), 3, 10, 2).collect()) == whole and len(whole) == 360
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_tfidf_shuffles_once(spark, monkeypatch, repeated):
+    """Terms with long and short lists in several tasks, rows of one id, nulls; what is shuffled is a list a term and task, once."""
+    monkeypatch.setattr(text, "LONG", 3)
+    rows = [(i, f"all word{i % 5} pair{i // 2} own{i} " + "all " * (i % 3) if i % 9 else None) for i in range(60)] + [(60, "")] + [(None, "lost all")]
+    rows += [(7, "all again"), (8, "word1 word1")] if repeated else []
+    df = spark.createDataFrame(rows, "id int, text string").repartition(5)
+    found = text.tfidf_vectorize(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    tf = {}
+    for i, t in rows:
+        for w in (t or "").split():
+            tf[i, w] = tf.get((i, w), 0) + 1
+    n = {w: len([1 for _, x in tf if x == w]) for _, w in tf}
+    want = {k: c * (np.log((1 + len(rows)) / (1 + n[k[1]])) + 1) for k, c in tf.items()}
+    got = found.collect()
+    assert len(got) == len(want) and all(abs(r.weight - want[r.id, r.term]) < 6e-5 for r in got)
+    assert "Join" not in plan and (repeated or plan.count("Exchange hashpartitioning") == 1)
+    if not repeated:
+        assert "Exchange" not in text.count_vectorize(df.coalesce(2))._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")

@@ -560,3 +560,18 @@ def test_copies_of_a_row_are_bounded(spark):
     assert index.leaves.select("tree", "id").distinct().count() == 3000
     assert index.leaves.count() < 3000 * 1.3**ann.OVERLAP * 1.2
     assert index.leaves.groupBy("tree", "node").count().agg(F.avg("count")).first()[0] < 12
+
+
+def test_leaves_meet_queries_in_one_place(spark, monkeypatch):
+    """Few queries at the tasks, many by leaf, and candidates one by one give the same rows; by leaf no candidate is listed. Trees in one pass or several, too."""
+    df = vec(spark, [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(500, 5)))])
+    index = ann.build(df, n_trees=3, leaf=40, spill=0.1)
+    q = df.where("id < 60").withColumnRenamed("id", "query_id")
+    listed = index.traverse(q, 2).join(index.leaves, ["tree", "node"]).select("query_id", "id")
+    want = {(r.query_id, r.id, r.distance) for r in S.rerank(listed, df, q, 7, metric="squared_l2").collect()}
+    walked = index._walked(q, 7, 6, 2)
+    assert {(r.query_id, r.id, r.distance) for r in walked.collect()} == want == {(r.query_id, r.id, r.distance) for r in index._probed(q, 7, 6, 2).collect()} and len(want) == 420
+    assert len(ann._together(index.nodes, [0, 1, 2])) == 1
+    monkeypatch.setattr(ann, "NODE_BYTES", 3000)
+    assert len(ann._together(index.nodes, [0, 1, 2])) == 3
+    assert {(r.query_id, r.id, r.distance) for r in index._walked(q, 7, 6, 2).collect()} == want

@@ -421,7 +421,7 @@ def nearest(x, ids, d, k=10):
     return {(q, int(ids[j]), float(d[q, j])) for q in range(len(d)) for j in np.lexsort((ids, d[q]))[:k]}
 
 
-@pytest.mark.parametrize("metric", ["l2", "lp", "cosine", "squared_l2", "jaccard"])
+@pytest.mark.parametrize("metric", ["l2", "lp", "ip", "cosine", "squared_l2", "jaccard"])
 def test_search_kernel(metric):
     """Blocks of rows give what all rows give, with equal rows, in little memory: a task holds no matrix of all distances."""
     import tracemalloc
